@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumora.llm.op01_langid import fit, held_out, identify
+from lumora.llm.op02_sentencepiece import encode_texts
+from lumora.llm.op03_mixing import mix_sources
 from lumora.llm.op10_minhash import near_duplicates
 from lumora.llm.sql import ORACLE_SQL
 
@@ -14,12 +19,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out("doc_id", 4, 2)).select(F.col("doc_id").alias("key"), "text", "lang"))
+    return identify(docs.select("doc_id", "text"), model).withColumn("held_out", held_out("doc_id", 4, 2)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_pieces", "piece_ids", F.col("text").alias("decoded"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeats=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_minhash_dedup,)}
+    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_mixing, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,5 +22,35 @@ WITH RECURSIVE words AS (
 )
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, l.component_id, l.component_id = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least l ON l.doc_id = d.doc_id
+""",
+    "op3_mixing": r"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), totals AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source
+), weighed AS (
+    SELECT *, CASE rank % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS weight, CAST(sum(total) OVER () AS BIGINT) AS budget FROM totals
+), levels AS (
+    SELECT *, (3 * total) / weight AS ratio,
+        CAST(budget - coalesce(sum(3 * total) OVER before, 0) AS DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM weighed WINDOW before AS (ORDER BY (3 * total) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+    SELECT level FROM levels WHERE 3 * total >= level * weight ORDER BY ratio, rank LIMIT 1
+), targets AS (
+    SELECT source, rank, total, budget, coalesce(least(CAST(3 * total AS DOUBLE), (SELECT level FROM level) * weight), CAST(3 * total AS DOUBLE)) AS target FROM weighed
+), queued AS (
+    SELECT s.*, t.rank, t.total, t.target, t.budget, sum(s.size) OVER (PARTITION BY t.rank ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), copies AS (
+    SELECT *, CAST(upto + copy * total AS DOUBLE) / target AS finish
+    FROM (SELECT *, unnest(range(CAST(ceil(target / total) AS BIGINT))) AS copy FROM queued WHERE size > 0 AND target > 0)
+), cut AS (
+    SELECT *, sum(size) OVER (ORDER BY finish, rank, h, doc_id, copy ROWS UNBOUNDED PRECEDING) AS filled FROM copies
+), taken AS (
+    SELECT doc_id, rank, h, sum(size) AS taken FROM cut WHERE filled <= budget GROUP BY ALL
+)
+SELECT q.doc_id, q.size, q.total AS source_size, q.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken
+FROM queued q LEFT JOIN taken t ON t.doc_id = q.doc_id
 """,
 }
