@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from lumora.llm.op01_langid import fit, held_out, identify
 from lumora.llm.op02_sentencepiece import encode_texts
 from lumora.llm.op03_mixing import mix_sources
+from lumora.llm.op04_token_counts import count_tokens
+from lumora.llm.op05_fingerprints import compare_edited
+from lumora.llm.op07_token_files import written_and_read
+from lumora.llm.op08_chat import format_chats, read_back, with_hostile
 from lumora.llm.op10_minhash import near_duplicates
 from lumora.llm.sql import ORACLE_SQL
 
@@ -35,12 +39,28 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(_table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(format_chats(with_hostile(_table(spark, sf_dir, "conversations"))))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_mixing, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_mixing, op4_token_counts, op5_fingerprints, op7_token_files, op8_chat_format, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

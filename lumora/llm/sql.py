@@ -52,5 +52,22 @@ WITH sized AS (
 )
 SELECT q.doc_id, q.size, q.total AS source_size, q.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken
 FROM queued q LEFT JOIN taken t ON t.doc_id = q.doc_id
+""",
+    "op8_chat_format": r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+), one AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learnt,
+        sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10))) AS chars,
+        string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE '-' END, '' ORDER BY turn NULLS FIRST, role, text) AS roles
+    FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256,
+    CAST(chars AS BIGINT) AS formatted_chars, regexp_full_match(roles, 's?(ua)+') AS valid
+FROM one
 """,
 }
