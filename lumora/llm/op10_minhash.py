@@ -28,6 +28,7 @@ from lumora.session import cut, ship
 
 RUN = 3
 MISS = 1e-6
+BROADCAST_IDS = 1_000_000  # so many 8-byte ids at most are broadcast to find texts; more are joined
 
 
 def run_keys(similarity: float, run: int = RUN, miss: float = MISS) -> int:
@@ -160,7 +161,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         least = least_overlap(similarity, k)
         likely = cut(_attach(pairs, sketches, "sketch").mapInArrow(partial(_alike, k=k, least=least), "a long, b long"))
         nodes = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        firsts = classes.join(nodes, "class", "left_semi").select("doc_id")
+        firsts = cut(classes.join(nodes, "class", "left_semi").select("doc_id"))
+        if firsts.count() <= BROADCAST_IDS:
+            firsts = F.broadcast(firsts)
         sets = docs.join(firsts, "doc_id", "left_semi").mapInArrow(partial(_blobs, n=shingle), "node long, values binary")
         sets = sets.join(nodes.withColumnRenamed("class", "node"), "node", "left_semi").dropDuplicates(["node"])
         return cut(_attach(likely, cut(sets), "values").mapInArrow(partial(_linked, num=num, den=den), "a long, b long"))
