@@ -13,8 +13,10 @@ from lumora.llm.op02_sentencepiece import encode_texts
 from lumora.llm.op03_mixing import mix_sources
 from lumora.llm.op04_token_counts import count_tokens
 from lumora.llm.op05_fingerprints import compare_edited
+from lumora.llm.op06_lm import score_texts
 from lumora.llm.op07_token_files import written_and_read
 from lumora.llm.op08_chat import format_chats, read_back, with_hostile
+from lumora.llm.op09_embedding_dedup import near_duplicates as near_vectors
 from lumora.llm.op10_minhash import near_duplicates
 from lumora.llm.sql import ORACLE_SQL
 
@@ -47,6 +49,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 7, 2).alias("held_out")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -55,12 +61,20 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(with_hostile(_table(spark, sf_dir, "conversations"))))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), similarity=0.9)
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_mixing, op4_token_counts, op5_fingerprints, op7_token_files, op8_chat_format, op10_minhash_dedup)}
+    found = (
+        op1_language_id, op2_sentencepiece, op3_mixing, op4_token_counts, op5_fingerprints,
+        op6_lm_scores, op7_token_files, op8_chat_format, op9_embedding_dedup, op10_minhash_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -69,5 +69,20 @@ WITH turns AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256,
     CAST(chars AS BIGINT) AS formatted_chars, regexp_full_match(roles, 's?(ua)+') AS valid
 FROM one
+""",
+    "op9_embedding_dedup": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+    SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(vec_id, other) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links,
+    (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) AS component_id,
+    (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) = v.vec_id AS kept
+FROM v
 """,
 }
