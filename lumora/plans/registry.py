@@ -1,11 +1,160 @@
-"""The queries of the reference's operators and their SQL."""
+"""The registered queries of the library's operators: name -> (spark, sf_dir) -> DataFrame, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumora.functions import columns
+from lumora.models.bridge import CategoryBridge
+from lumora.models.neighbours import ItemNeighbours, Popularity, cooccurrence
+from lumora.models.walk import GraphWalk, graph_edges, item_edges
+from lumora.operators import compare, evaluate, split
+from lumora.operators.dataset import Dataset, build_dataset
+from lumora.plans import sql
+from lumora.sources import tables
+
+KEY = [*evaluate.KEY]
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _data(spark: SparkSession, sf_dir: str, **options) -> Dataset:
+    return build_dataset(tables.order_events(spark, sf_dir), tables.order_items(spark, sf_dir), **options)
+
+
+def _rounded(scores: DataFrame) -> DataFrame:
+    return scores.select(*KEY, "item_id", F.round("score", 8).alias("score"))
+
+
+def _ranks(ranked: DataFrame) -> DataFrame:
+    return ranked.select(*KEY, "rank")
+
+
+def _line(df: DataFrame) -> DataFrame:
+    return df.withColumn("line", F.col("tiebreak.l_linenumber"))
+
+
+def _measured(data: Dataset, model) -> DataFrame:
+    rows, scores = data.eval_rows(), model.fit(data).score(data.eval_rows())
+    ranked = evaluate.rank_by_popularity(rows, data) if scores is None else evaluate.rank_targets(rows, scores, data, model.dense)
+    return evaluate.with_metrics(ranked)
+
+
+def _paired(data: Dataset) -> DataFrame:
+    return compare.paired(_measured(data, GraphWalk(use_metadata=False)), _measured(data, Popularity()))
+
+
+def _summary(df: DataFrame) -> DataFrame:
+    return compare.paired_summary(df).select("n", "n_informative", *(F.round(c, 8).alias(c) for c in ("baseline", "delta")), F.round("rel_lift_pct", 4).alias("rel_lift_pct"), *(F.round(c, 8).alias(c) for c in ("win_rate", "pooled_sd")))
+
+
+def _power(data: Dataset) -> DataFrame:
+    row = compare.paired_summary(_paired(data)).select(F.col("delta").alias("effect"), "pooled_sd")
+    z = F.lit((1.959963984540054 + 0.8416212335729144) ** 2)  # of alpha 0.05 and power 0.8
+    n = F.ceil(2 * z * F.col("pooled_sd") * F.col("pooled_sd") / (F.col("effect") * F.col("effect"))).cast("long")
+    n = F.when((F.col("effect") == 0) | (F.col("pooled_sd") <= 0), F.lit(-1).cast("long")).otherwise(n)
+    return row.select(F.round("effect", 8).alias("effect"), F.round("pooled_sd", 8).alias("pooled_sd"), n.alias("required_n_per_arm"))
+
+
+def _features(data: Dataset) -> DataFrame:
+    scores = ItemNeighbours(150).fit(data).score(data.eval_rows())
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc(F.round("score", 10)), "item_id")) - 1
+    ranks = columns.percent_rank_average(data.popularity, "pop", "pop_pct").select("item_id", F.round(F.log1p("pop"), 8).alias("log_pop"), F.round("pop_pct", 8).alias("pop_pct"))
+    rows = data.eval_rows().select(*KEY, "hist_len", "in_vertical_hist", "cold_in_vertical")
+    joined = scores.withColumn("knn_rank", place).join(ranks, "item_id").join(rows, KEY)
+    other = F.col("hist_len") - F.col("in_vertical_hist")
+    return joined.select(
+        "user_id", "target", "item_id", "knn_rank", "log_pop", "pop_pct", F.col("hist_len").alias("hist_total"), F.col("in_vertical_hist").alias("hist_in_vertical"), other.alias("hist_other_verticals"),
+        F.round(other / F.greatest("hist_len", F.lit(1)), 8).alias("share_other"), F.col("cold_in_vertical").alias("cold"),
+    )
+
+
+def _blended(data: Dataset) -> DataFrame:
+    rows = data.eval_rows()
+    mixed = compare.blend(CategoryBridge().fit(data).score(rows), Popularity().fit(data).scores(rows), [0.25, 0.75])
+    key = ["user_id", "target", "vertical", "alpha"]
+    open_ = evaluate.mask_seen(mixed, data).withColumn("score", F.round("score", 6))
+    own = F.max(F.when(F.col("item_id") == F.col("target"), F.col("score"))).over(Window.partitionBy(*key))
+    return open_.withColumn("own", own).where("score >= own").groupBy(*key).agg(F.count("*").alias("rank")).select("user_id", "target", "alpha", "rank")
+
+
+def _history(data: Dataset) -> DataFrame:
+    entries = F.transform("history", lambda e: F.concat_ws("@", e["item_id"].cast("string"), e["vertical"]))
+    return split.last_n(data.train, 5).select("user_id", F.array_join(entries, " ").alias("history"))
+
+
+def _stream_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.leave_one_out(tables.stream_events(spark, sf_dir)).select("user_id", "item_id", "vertical", "tiebreak.event_id", "part")
+
+
+#: Queries over the split order log.
+_OF_DATA: dict[str, Callable[[Dataset], DataFrame]] = {
+    "item_dimension": lambda d: d.items,
+    "user_activity_filter": lambda d: _line(d.events).select("user_id", "item_id", "ts", "session_id", "line"),
+    "loo_split": lambda d: _line(d.events).select("user_id", "item_id", "session_id", "line", "back", "part"),
+    "train_only_targets": lambda d: d.events.where("part in ('test', 'val')").select("user_id", "item_id", "part"),
+    "item_popularity": lambda d: d.popularity.select("item_id", "vertical", "pop"),
+    "candidate_pool": lambda d: d.candidates.select("item_id", "vertical", "pop"),
+    "user_vertical_counts_pivot": lambda d: d.vertical_counts(["food", "quik", "shops"]),
+    "user_vertical_unpivot": lambda d: d.vertical_counts(["food", "quik", "shops"]).unpivot("user_id", ["food", "quik", "shops"], "vertical", "n").where("n > 0"),
+    "popularity_percentile": lambda d: columns.percent_rank_average(d.popularity, "pop", "pct").select("item_id", F.round("pct", 8).alias("pct")),
+    "eval_frame": lambda d: d.eval_rows().withColumn("target_pop_pct", F.round("target_pop_pct", 8)),
+    "gini_popularity": lambda d: columns.gini(d.popularity, "pop").select(F.round("gini", 6).alias("gini")),
+    "dataset_profile": lambda d: d.profile(),
+    "seen_mask": lambda d: evaluate.unmasked_sizes(d.eval_rows(), d).select("user_id", "target", "n_open"),
+    "score_popularity": lambda d: _rounded(Popularity().fit(d).scores(d.eval_rows())),
+    "rank_popularity": lambda d: _ranks(evaluate.rank_by_popularity(d.eval_rows(), d)),
+    "metrics_popularity": lambda d: evaluate.metric_means(_measured(d, Popularity())),
+    "slice_metrics": lambda d: evaluate.metrics_by_slice(_measured(d, Popularity())),
+    "coverage_novelty": lambda d: evaluate.coverage_and_novelty(evaluate.top_lists(Popularity().fit(d).scores(d.eval_rows()), d), d),
+    "top10_popularity": lambda d: evaluate.top_lists(Popularity().fit(d).scores(d.eval_rows()), d).select(*KEY, "item_id", "place"),
+    "top10_knn": lambda d: evaluate.top_lists(ItemNeighbours(150).fit(d).score(d.eval_rows()), d).select(*KEY, "item_id", "place"),
+    "nonfinite_count": lambda d: evaluate.check_finite(CategoryBridge().fit(d).score(d.eval_rows())),
+    "item_cooccurrence": lambda d: cooccurrence(d.seen),
+    "knn_similarity_topk": lambda d: ItemNeighbours(150).fit(d).similarity.select("i", "j", F.round("similarity", 10).alias("similarity")),
+    "knn_recency_profile": lambda d: ItemNeighbours(150, recency_halflife=5.0).fit(d).history().select("user_id", "i", F.round("weight", 8).alias("weight")),
+    "score_knn": lambda d: _rounded(ItemNeighbours(150).fit(d).score(d.eval_rows())),
+    "rank_knn": lambda d: _ranks(evaluate.rank_targets(d.eval_rows(), ItemNeighbours(150).fit(d).score(d.eval_rows()), d)),
+    "walk_edges": lambda d: item_edges(d).select("src", "dst", F.round("w", 8).alias("w")),
+    "kg_edges": lambda d: graph_edges(d).select("src", "dst", F.round("w", 8).alias("w")),
+    "kg_attribute_mass": lambda d: graph_edges(d).where("src like 'item=%'").groupBy("src").agg(F.round(F.sum(F.when(~F.col("dst").like("item=%"), F.col("w"))), 8).alias("mass")),
+    "walk_seeds": lambda d: GraphWalk(use_metadata=False).fit(d).seeds(d.eval_rows()).select("user_id", "vertical", "node", F.round("w", 8).alias("w")),
+    "score_walk_within": lambda d: _rounded(GraphWalk(cross_vertical=False, use_metadata=False).fit(d).score(d.eval_rows())),
+    "score_walk_xvert": lambda d: _rounded(GraphWalk(use_metadata=False).fit(d).score(d.eval_rows())),
+    "rank_walk_xvert": lambda d: _ranks(_measured(d, GraphWalk(use_metadata=False))),
+    "rank_walk_kg": lambda d: _ranks(_measured(d, GraphWalk())),
+    "bridge_affinity": lambda d: CategoryBridge().fit(d).affinity.select("a", "b", "co", F.round("affinity", 8).alias("affinity")),
+    "bridge_top_transfers": lambda d: CategoryBridge().fit(d).top_transfers(12).withColumn("affinity", F.round("affinity", 8)),
+    "score_bridge": lambda d: _rounded(CategoryBridge().fit(d).score(d.eval_rows())),
+    "rank_bridge": lambda d: _ranks(_measured(d, CategoryBridge())),
+    "leaderboard": lambda d: evaluate.leaderboard({m.name: _measured(d, m) for m in (Popularity(), ItemNeighbours(150), GraphWalk(use_metadata=False))}),
+    "paired_delta": lambda d: _summary(_paired(d)),
+    "paired_delta_by_slice": lambda d: compare.informative(_paired(d)),
+    "informative_rows": lambda d: _paired(d).select(*KEY, ((F.col("x") > 0) | (F.col("y") > 0)).alias("informative")),
+    "power_analysis": _power,
+    "percentile_of_ranks": lambda d: evaluate.rank_by_popularity(d.eval_rows(), d).groupBy("vertical").agg(*(F.round(F.percentile("rank", F.lit(p)), 6).alias(n) for n, p in (("low", 0.025), ("high", 0.975)))),
+    "rowwise_zscore": lambda d: ItemNeighbours(150).fit(d).score(d.eval_rows()).select(*KEY, "item_id", F.round(columns.zscore("score", KEY), 6).alias("z")),
+    "fusion_features": _features,
+    "blend_rank": _blended,
+    "sequence_pairs": lambda d: split.next_pairs(d.train),
+    "last_n_history": _history,
+}
+
+#: Queries over the tables themselves.
+_OF_TABLES: dict[str, Query] = {
+    "interaction_log": lambda s, p: _line(tables.order_events(s, p)).select("user_id", "item_id", "vertical", "ts", "session_id", "line"),
+    "item_frequency_filter": lambda s, p: _line(split.frequent(tables.order_events(s, p), "item_id", 10)).select("user_id", "item_id", "session_id", "line"),
+    "multi_vertical_users": lambda s, p: tables.order_events(s, p).groupBy("user_id").agg(F.count_distinct("vertical").alias("n_verticals"), F.count("*").alias("n")).where("n_verticals >= 2"),
+    "capped_candidate_pool": lambda s, p: _data(s, p, max_candidates=100).candidates.select("item_id", "vertical", "pop"),
+    "stream_split": _stream_split,
+}
+
+
+def queries() -> dict[str, Query]:
+    return _OF_TABLES | {name: (lambda s, p, f=f: f(_data(s, p))) for name, f in _OF_DATA.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
