@@ -110,6 +110,10 @@ def statement(needs: tuple[str, ...], query: str) -> str:
 
     for step in needs:
         add(step)
+    if not needs:
+        return query
+    if query.startswith("WITH"):
+        query = f"SELECT * FROM ({query})"
     return "WITH " + ",\n".join(f"{s} AS MATERIALIZED ({STEPS[s][1]})" for s in order) + "\n" + query
 
 
