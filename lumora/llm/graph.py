@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
             live = live.join(up.select(F.col("node").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         live = cut(live.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return roots
+
+
+def lowest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n nodes the lowest that the links (a, b) lead to."""
+    low = np.arange(n)
+    while len(a):
+        x, y = low[a], low[b]
+        np.minimum.at(low, x, y)
+        np.minimum.at(low, y, x)
+        while (low[low] != low).any():
+            low = low[low]
+        open_ = low[a] != low[b]
+        a, b = a[open_], b[open_]
+    return low

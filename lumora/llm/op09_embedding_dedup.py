@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.graph import connected_components
+from lumora.llm.graph import connected_components, lowest_linked
 from lumora.session import cut, ship
 
 M = 32
@@ -101,20 +101,6 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     })
 
 
-def _lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of n nodes the lowest that the links (a, b) lead to."""
-    low = np.arange(n)
-    while len(a):
-        x, y = low[a], low[b]
-        np.minimum.at(low, x, y)
-        np.minimum.at(low, y, x)
-        while (low[low] != low).any():
-            low = low[low]
-        open_ = low[a] != low[b]
-        a, b = a[open_], b[open_]
-    return low
-
-
 def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -153,7 +139,7 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
             n, k = len(sides[0][0]), len(sides[1][0])
             links = [np.bincount(a, weights=sides[1][1][b], minlength=n), np.bincount(b, weights=sides[0][1][a], minlength=k)]
             nodes, links = np.concatenate([sides[0][0], sides[1][0]]), np.concatenate(links).astype(np.int64)
-            low = _lowest(n + k, a, b + (0 if same else n))
+            low = lowest_linked(n + k, a, b + (0 if same else n))
             some = np.flatnonzero(links)
             roots = low[some % n if same else some]
             yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[roots]), pa.array(links[some])], ["a", "b", "n"])

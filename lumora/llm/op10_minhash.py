@@ -1,14 +1,15 @@
 """MinHash near-deduplication by bottom-k sketches of one hash function.
 
 1. Every text becomes its set of word shingles; equal sets form one class at once, so copies never meet in pairs.
-2. A class keeps the `k` smallest shingle hashes. Runs of `RUN` consecutive retained values key the inverted lists: a
-   run occurs in both sketches unless an unshared value falls between, so `run_keys` of them miss a pair at the threshold
-   with probability under `MISS`, while one common passage doesn't fill a list.
+2. A class keeps the `k` smallest shingle hashes. A pair at the threshold shares at least `least_overlap` of its retained values, but for
+   a probability of MISS. So when each class's values go by how many classes retain them, rarest first, both have a shared one among the
+   first k - least_overlap + 1: only those key the inverted lists. What a common passage brings stands last and keys none.
 3. In each list the member whose lists are longest is the pivot; the others are paired with it (a group of
    copies is a star around its original, so that finds most links without the group's square).
 4. Union-sketch estimates drop pairs far below the threshold, the full sets decide the rest exactly.
-5. Lists whose members aren't yet in one component are then paired in full across components, and
-   verified the same way: only links inside a component are never looked for.
+5. Lists whose members aren't yet in one component form clusters (lists that share members). A cluster is cut into blocks of
+   BLOCK classes; where two blocks hold different components, a task counts the overlaps of all their sketches, then of the sets of
+   those that pass, and returns a spanning forest of the links. So no pair is missed and none is written out.
 """
 
 from __future__ import annotations
@@ -22,28 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.graph import connected_components
+from lumora.llm.graph import connected_components, lowest_linked
 from lumora.llm.text import mix, overlap, shingles
 from lumora.session import cut, ship
 
-RUN = 3
 MISS = 1e-6
+BLOCK = 512  # classes of a cluster that are held against one another at once
+COLUMNS = 4096  # shingles counted at once
 BROADCAST_IDS = 1_000_000  # so many 8-byte ids at most are broadcast to find texts; more are joined
 
 
-def run_keys(similarity: float, run: int = RUN, miss: float = MISS) -> int:
-    """How many runs to key so that no shared run among them has a probability under miss at the threshold.
-
-    The smallest values of the union are shared independently with probability `similarity`; state[i]: the current
-    streak of shared values has length i and none has reached `run` yet.
-    """
-    state, n = [1.0] + [0.0] * (run - 1), 0
-    while sum(state) > miss or n < run:
-        state = [sum(state) * (1 - similarity)] + [x * similarity for x in state[:-1]]
-        n += 1
-    return n - run + 1
-
-
 def least_overlap(similarity: float, k: int, miss: float = MISS) -> np.ndarray:
     """For union sketches of 0 to k values the fewest shared ones that a pair at the threshold has, but for miss."""
     out = np.zeros(k + 1, np.int64)
@@ -80,20 +69,13 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.
         )
 
 
-def _keys(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, sizes, keys = [], [], []
-        for node, size, sketch in zip(*(batch.column(c).to_pylist() for c in ("class", "n_shingles", "sketch")), strict=True):
-            values = np.frombuffer(sketch, "<i8").astype(np.uint64)
-            runs = min(max(1, len(values) - RUN + 1), n_keys)
-            key = values[:runs]
-            for j in range(1, RUN):
-                key = mix(key) + values[j : j + runs] if len(values) >= RUN else mix(key)
-            keys.append((key >> np.uint64(1)).astype(np.int64))
-            nodes.append(np.full(len(key), node, np.int64))
-            sizes.append(np.full(len(key), size, np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], ["key", "node", "n"])
+        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+            sketches = [np.frombuffer(x, "<i8") for x in part.column("sketch").to_pylist()]
+            times = [len(x) for x in sketches]
+            wide = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), times) for c in ("class", "n_shingles")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.concatenate(sketches) if sketches else [], *wide)], ["key", "node", "n"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch], k: int, least: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -123,6 +105,56 @@ def _linked(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of x shares with each of y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    rows, values = [], []
+    for sets in (x, y):
+        rows.append(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+        values.append(np.concatenate(sets))
+    both = np.intersect1d(*values)
+    columns = [np.minimum(np.searchsorted(both, v), max(0, len(both) - 1)) for v in values]
+    for i in range(2):
+        shared = both[columns[i]] == values[i] if len(both) else np.zeros(len(values[i]), bool)
+        rows[i], columns[i] = rows[i][shared], columns[i][shared]
+        order = np.argsort(columns[i], kind="stable")
+        rows[i], columns[i] = rows[i][order], columns[i][order]
+    for lo in range(0, len(both), COLUMNS):
+        dense = []
+        for i, sets in enumerate((x, y)):
+            a, b = np.searchsorted(columns[i], [lo, lo + COLUMNS])
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[rows[i][a:b], columns[i][a:b] - lo] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _compare_blocks(rows: pa.Table, num: int, den: int, k: int, least: int) -> pa.Table:
+    """The links between the two blocks (side 0 and 1, or one block with itself) that join components, as a forest."""
+    order = np.argsort(rows.column("side").to_numpy(), kind="stable")
+    node, root, side = (rows.column(c).to_numpy()[order] for c in ("node", "root", "side"))
+    blobs = rows.column("values").to_pylist()
+    sets = [np.frombuffer(blobs[i], "<i8") for i in order]
+    n = np.array([len(s) for s in sets], float)
+    at = int((side == 0).sum())
+    a, b = (np.arange(at), np.arange(at, len(node))) if at < len(node) else (np.arange(at), np.arange(at))
+    found = []
+    if len(a) and len(b):
+        large, small = np.maximum(n[a][:, None], n[b][None, :]), np.minimum(n[a][:, None], n[b][None, :])
+        likely = (root[a][:, None] != root[b][None, :]) & (den * small >= num * large)
+        likely &= _overlaps([sets[i][:k] for i in a], [sets[i][:k] for i in b]) >= np.minimum(np.ceil(num * large / den), least)
+        a, b = a[likely.any(axis=1)], b[likely.any(axis=0)]
+        if len(a):
+            shared = _overlaps([sets[i] for i in a], [sets[i] for i in b])
+            linked = (root[a][:, None] != root[b][None, :]) & (den * shared >= num * (n[a][:, None] + n[b][None, :] - shared))
+            i, j = np.nonzero(linked)
+            low = lowest_linked(len(node), a[i], b[j])
+            found = np.flatnonzero(low != np.arange(len(node)))
+            return pa.table({"a": pa.array(node[found]), "b": pa.array(node[low[found]])})
+    return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+
 def _attach(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """pairs(a, b) with the value of a as x and of b as y."""
     for end, name in (("a", "x"), ("b", "y")):
@@ -148,7 +180,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     sketches = classes.select(F.col("class").alias("node"), "sketch")
 
     by_key = Window.partitionBy("key")
-    lists = classes.select("class", "n_shingles", "sketch").mapInArrow(partial(_keys, n_keys=run_keys(similarity)), "key long, node long, n long")
+    values = classes.select("class", "n_shingles", "sketch").mapInArrow(_values, "key long, node long, n long")
+    common = values.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")
+    retained, needed = F.least("n", F.lit(k)), F.least(F.ceil(F.col("n") * num / den), F.lit(int(least_overlap(similarity, k)[k])))
+    of_node = Window.partitionBy("node")
+    shared = values.join(common, "key").withColumn("rank", F.row_number().over(of_node.orderBy("classes", "key")))
+    shared = shared.withColumn("alone", retained - F.count("*").over(of_node))
+    lists = shared.where(F.col("rank") + F.col("alone") <= retained - needed + 1).select("key", "node", "n")
     lists = cut(lists.withColumn("members", F.count("*").over(by_key)).where("members > 1"))
     central = lists.groupBy("node").agg(F.sum(F.ln("members")).alias("weight"))
     pivot = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n")).over(by_key)
@@ -157,27 +195,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     stars = stars.where((F.col("node") != -F.col("pivot.minus")) & near_size(F.col("n"), F.col("pivot.n")))
     stars = stars.select(F.least("node", -F.col("pivot.minus")).alias("a"), F.greatest("node", -F.col("pivot.minus")).alias("b")).distinct()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        least = least_overlap(similarity, k)
-        likely = cut(_attach(pairs, sketches, "sketch").mapInArrow(partial(_alike, k=k, least=least), "a long, b long"))
-        nodes = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        firsts = cut(classes.join(nodes, "class", "left_semi").select("doc_id"))
+    least = least_overlap(similarity, k)
+
+    def full_sets(nodes: DataFrame) -> DataFrame:
+        """(node, values) of nodes(node)."""
+        firsts = cut(classes.join(nodes.withColumnRenamed("node", "class"), "class", "left_semi").select("doc_id"))
         if firsts.count() <= BROADCAST_IDS:
             firsts = F.broadcast(firsts)
         sets = docs.join(firsts, "doc_id", "left_semi").mapInArrow(partial(_blobs, n=shingle), "node long, values binary")
-        sets = sets.join(nodes.withColumnRenamed("class", "node"), "node", "left_semi").dropDuplicates(["node"])
-        return cut(_attach(likely, cut(sets), "values").mapInArrow(partial(_linked, num=num, den=den), "a long, b long"))
+        return cut(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
-    first = verified(stars)
+    likely = cut(_attach(stars, sketches, "sketch").mapInArrow(partial(_alike, k=k, least=least), "a long, b long"))
+    sets = full_sets(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    first = cut(_attach(likely, sets, "values").mapInArrow(partial(_linked, num=num, den=den), "a long, b long"))
     roots = connected_components(first)
-    named = lists.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = cut(named.withColumn("low", F.min("root").over(by_key)).withColumn("high", F.max("root").over(by_key)).where("low <> high").select("key", "node", "n", "root"))
-    a, b = mixed.alias("a"), mixed.alias("b")
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & near_size(F.col("a.n"), F.col("b.n"))
-    rest = a.join(b, across).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    second = verified(rest.join(stars, ["a", "b"], "left_anti"))
-    edges = second if roots.isEmpty() else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
-    roots = connected_components(edges)
+
+    named = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = named.withColumn("low", F.min("root").over(by_key)).withColumn("high", F.max("root").over(by_key)).where("low <> high")
+    mixed = cut(mixed.select("key", "node", "root"))
+    if not mixed.isEmpty():
+        clusters = connected_components(mixed.select(F.col("node").alias("a"), (-F.col("key") - 1).alias("b"))).where("node >= 0")
+        members = mixed.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
+        place = F.row_number().over(Window.partitionBy("cluster").orderBy("root", "node")) - 1
+        members = cut(members.withColumn("block", F.floor(place / BLOCK)))
+        blocks = members.groupBy("cluster", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        x, y = blocks.alias("x"), blocks.alias("y")
+        open_ = ~((F.col("x.low") == F.col("x.high")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.low") == F.col("y.high")))
+        tasks = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & open_)
+        tasks = cut(tasks.select(F.col("x.cluster").alias("cluster"), F.col("x.block").alias("x"), F.col("y.block").alias("y")))
+        sides = [tasks.withColumn("block", F.col("x")).withColumn("side", F.lit(0)), tasks.where("x <> y").withColumn("block", F.col("y")).withColumn("side", F.lit(1))]
+        rows = sides[0].unionByName(sides[1]).join(members, ["cluster", "block"]).join(full_sets(members.select("node").distinct()), "node")
+        fewest = int(least[k])
+
+        def compare(rows: pa.Table) -> pa.Table:
+            return _compare_blocks(rows, num, den, k, fewest)
+
+        second = cut(rows.select("cluster", "x", "y", "side", "node", "root", "values").groupBy("cluster", "x", "y").applyInArrow(compare, "a long, b long"))
+        roots = connected_components(first.unionByName(second))
 
     named = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
