@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,9 +41,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage, through Spark's reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Computes df once and cuts its lineage: a Parquet table in the shared folder, written and read again.
+
+    A table rather than checkpoint(): a checkpoint hands its plan's constraints on, which double with each round of an iteration
+    until planning takes longer than the work. The tables of an application are in one folder, removed when Python ends.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/lumora-{spark.sparkContext.applicationId}"
+    _remove_at_exit(spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    if getattr(sc, "_lumora_tables", None) == folder:
+        return
+    sc._lumora_tables = folder
+
+    def remove() -> None:
+        if sc._jsc is not None:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(remove)
 
 
 def ship(spark: SparkSession) -> None:
