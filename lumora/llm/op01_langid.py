@@ -11,6 +11,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +33,21 @@ class LanguageModel:
     """costs[n]: of n-grams (n = 0: whole words), a row of costs by language."""
 
     languages: list[str]
-    costs: list[dict[str, np.ndarray]]
+    costs: list[dict[str, tuple[float, ...]]]
     penalty: list[float]
 
-    def word_cost(self, word: str) -> np.ndarray:
+    def word_cost(self, word: str) -> tuple[float, ...]:
         found = self.costs[0].get(word)
         if found is not None:
             return found
         padded = f" {word} "
         for n in range(min(LONGEST, len(padded)), 0, -1):
-            grams = [self.costs[n].get(padded[i : i + n]) for i in range(len(padded) - n + 1)]
-            if any(x is not None for x in grams):
-                missing = np.full(len(self.languages), self.penalty[n])
-                return np.mean([missing if x is None else x for x in grams], axis=0)
-        return np.full(len(self.languages), self.penalty[1])
+            known, count = self.costs[n], len(padded) - n + 1
+            grams = [x for i in range(count) if (x := known.get(padded[i : i + n])) is not None]
+            if grams:
+                missing = (count - len(grams)) * self.penalty[n]
+                return tuple((sum(x) + missing) / count for x in zip(*grams, strict=True))
+        return (self.penalty[1],) * len(self.languages)
 
 
 def _words(token: str) -> list[str]:
@@ -92,11 +94,11 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, entries: int = MODE
     frequent = Window.partitionBy("lang", "length").orderBy(F.desc("n"), "gram")
     top = counted.withColumn("rank", F.row_number().over(frequent)).where(F.col("rank") <= quota)
     penalty = [float(np.log10(2.0 * max([1, *(totals.get((lang, n), 0) for lang in languages)]))) for n in range(LONGEST + 1)]
-    costs: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+    costs: list[dict] = [{} for _ in range(LONGEST + 1)]
     for r in top.select("lang", "length", "gram", "n").toLocalIterator():
-        row = costs[r.length].setdefault(r.gram, np.full(len(languages), penalty[r.length]))
-        row[languages.index(r.lang)] = -np.log10(r.n / totals[r.lang, r.length])
-    return LanguageModel(languages, costs, penalty)
+        row = costs[r.length].setdefault(r.gram, [penalty[r.length]] * len(languages))
+        row[languages.index(r.lang)] = -log10(r.n / totals[r.lang, r.length])
+    return LanguageModel(languages, [{gram: tuple(row) for gram, row in known.items()} for known in costs], penalty)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -110,14 +112,18 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             tokens = (text or "").lower().split()
             for i in range(0, len(tokens), CACHE_TOKENS // 2):
                 part = tokens[i : i + CACHE_TOKENS // 2]
-                if len(rows) + len(part) > CACHE_TOKENS:
-                    rows.clear()
-                for token in set(part).difference(rows):
-                    words = _words(token)
-                    costs[len(rows), :width] = sum(map(model.word_cost, words)) if words else 0.0
-                    costs[len(rows), width] = len(words)
-                    rows[token] = len(rows)
-                total += costs[[rows[t] for t in part]].sum(axis=0)
+                found = list(map(rows.get, part))
+                if None in found:
+                    if len(rows) + len(part) > CACHE_TOKENS:
+                        rows.clear()
+                        found = [None] * len(part)
+                    for at, (token, row) in enumerate(zip(part, found, strict=True)):
+                        if row is None and (row := rows.get(token)) is None:
+                            words = _words(token)
+                            row = rows[token] = len(rows)
+                            costs[row] = (*(map(sum, zip(*map(model.word_cost, words), strict=True)) if words else [0.0] * width), len(words))
+                        found[at] = row
+                total += costs[found].sum(axis=0)
             if total[width] and width:
                 mean = total[:width] / total[width]
                 best = int(np.argmin(mean))
