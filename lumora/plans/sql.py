@@ -189,9 +189,9 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     "fusion_features": (("score_knn", "pop", "pop_pct", "rows"), """SELECT s.user_id, s.target, s.item_id, row_number() OVER (PARTITION BY s.user_id, s.target, s.vertical ORDER BY round(s.score, 10) DESC, s.item_id) - 1 AS knn_rank, round(ln(1 + p.pop), 8) AS log_pop, round(q.pct, 8) AS pop_pct,
         r.hist_len AS hist_total, r.in_vertical_hist AS hist_in_vertical, r.hist_len - r.in_vertical_hist AS hist_other_verticals, round((r.hist_len - r.in_vertical_hist) / greatest(r.hist_len, 1), 8) AS share_other, r.cold_in_vertical AS cold
         FROM score_knn s JOIN pop p ON p.item_id = s.item_id JOIN pop_pct q ON q.item_id = s.item_id JOIN rows r ON r.user_id = s.user_id AND r.target = s.target"""),
-    "blend_rank": (("open_pairs", "score_popularity", "score_bridge", "rows"), """WITH both AS (SELECT p.user_id, p.target, p.vertical, p.item_id, (p.score - avg(p.score) OVER w) / greatest(stddev_pop(p.score) OVER w, 1e-8) AS zb, (s.score - avg(s.score) OVER w) / greatest(stddev_pop(s.score) OVER w, 1e-8) AS za
+    "blend_rank": (("open_pairs", "score_popularity", "score_bridge", "rows"), """WITH joined AS (SELECT p.user_id, p.target, p.vertical, p.item_id, (p.score - avg(p.score) OVER w) / greatest(stddev_pop(p.score) OVER w, 1e-8) AS zb, (s.score - avg(s.score) OVER w) / greatest(stddev_pop(s.score) OVER w, 1e-8) AS za
             FROM score_popularity p JOIN score_bridge s ON s.user_id = p.user_id AND s.target = p.target AND s.item_id = p.item_id WINDOW w AS (PARTITION BY p.user_id, p.target, p.vertical)),
-        mixed AS (SELECT b.*, a.alpha, round(a.alpha * za + (1 - a.alpha) * zb, 6) AS score FROM both b SEMI JOIN open_pairs o ON o.user_id = b.user_id AND o.target = b.target AND o.item_id = b.item_id, (VALUES (CAST(0.25 AS DOUBLE)), (CAST(0.75 AS DOUBLE))) a(alpha))
+        mixed AS (SELECT b.*, a.alpha, round(a.alpha * za + (1 - a.alpha) * zb, 6) AS score FROM joined b SEMI JOIN open_pairs o ON o.user_id = b.user_id AND o.target = b.target AND o.item_id = b.item_id, (VALUES (CAST(0.25 AS DOUBLE)), (CAST(0.75 AS DOUBLE))) a(alpha))
         SELECT user_id, target, alpha, count(*) FILTER (score >= own) AS rank FROM (SELECT *, max(score) FILTER (item_id = target) OVER (PARTITION BY user_id, target, alpha) AS own FROM mixed) GROUP BY ALL"""),
     "sequence_pairs": (("train",), "SELECT user_id, item_id, next_item FROM (SELECT user_id, item_id, lead(item_id) OVER (PARTITION BY user_id ORDER BY ts, session_id, line, item_id) AS next_item FROM train) WHERE next_item IS NOT NULL"),
     "last_n_history": (("train",), """SELECT user_id, string_agg(item_id || '@' || vertical, ' ' ORDER BY back DESC) AS history FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, session_id DESC, line DESC, item_id DESC) AS n FROM train) WHERE n <= 5 GROUP BY 1"""),
