@@ -224,7 +224,9 @@ def test_gradients_and_scores():
     assert sum(np.exp(gru.score(np.array([t], np.int32), np.array([0, 1]))[0]) for t in range(74)) == pytest.approx(1)
 
 
-def test_lm_scores(spark):
+def test_lm_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TABLE_WORDS", 3000)  # so that known words are looked up too, in many buckets
+    monkeypatch.setattr(lm, "BUCKET_WORDS", 500)
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("held_out", held_out("doc_id", 7, 2))
     more = spark.createDataFrame([(-1, None, False), (-2, "", True), (-3, "Never before seen", True), (-3, "Never before seen", True), (None, "the", None), (-4, "the of " * 30_000, True)], "doc_id long, text string, held_out boolean")
     table = docs.select("doc_id", "text", "held_out").unionByName(more)
