@@ -34,8 +34,9 @@ class Streams:
     text: np.ndarray
 
 
-def streams(ids: np.ndarray, bounds: np.ndarray, width: int, end: int) -> Streams:
-    """Texts ids[bounds[i]:bounds[i + 1]], none empty, laid one after another on `width` streams, the longest first."""
+def streams(ids: np.ndarray, bounds: np.ndarray, width: int, end: int, follows: np.ndarray | None = None) -> Streams:
+    """Texts ids[bounds[i]:bounds[i + 1]], none empty, laid one after another on `width` streams, the longest first. Where follows[i],
+    text i goes on from i - 1: the token before its first is that one's last, but the state starts anew."""
     lengths = np.diff(bounds)
     width = max(1, min(width, len(lengths)))
     rows, load = [[] for _ in range(width)], np.zeros(width, np.int64)
@@ -51,6 +52,8 @@ def streams(ids: np.ndarray, bounds: np.ndarray, width: int, end: int) -> Stream
             n, part = lengths[i], ids[bounds[i] : bounds[i + 1]]
             out.token[at : at + n, k], out.text[at : at + n, k] = part, i
             out.before[at + 1 : at + n, k], out.begins[at + 1 : at + n, k] = part[:-1], False
+            if follows is not None and follows[i]:
+                out.before[at, k] = ids[bounds[i] - 1]
             at += n
     return out
 
@@ -70,6 +73,24 @@ class Gru:
         }
         self.p["o"].reshape(-1)[n_head:] = -1e9
 
+    def start_at(self, head: np.ndarray, tail: np.ndarray, end: int) -> None:
+        """Sets the biases to the log shares of the counts (plus one) of head words, tail classes and the end."""
+        inside = np.zeros((len(self.p["o"]), WIDTH))
+        inside.reshape(-1)[: len(head)] = head
+        classes = np.concatenate([inside.sum(axis=1)[: self.bins], tail, [end]]) + 1
+        self.p["c"] = np.log(classes / classes.sum()).astype(np.float32)
+        self.p["o"] = np.log((inside + 1) / (inside + 1).sum(axis=1, keepdims=True)).astype(np.float32)
+        self.p["o"].reshape(-1)[self.n_head :] = -1e9
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.reshape(-1) for v in self.p.values()])
+
+    def set_flat(self, weights: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = weights[at : at + v.size].astype(np.float32).reshape(v.shape)
+            at += v.size
+
     def class_of(self, token: np.ndarray) -> np.ndarray:
         return np.where(token < self.n_head, token // WIDTH, token - self.n_head + self.bins)
 
@@ -153,13 +174,16 @@ class Gru:
             dh = (dh * z + dg @ p["U"].T) * ~s.begins[lo + t][:, None]
         before, dflat = s.before[lo:hi].reshape(-1), dinputs.reshape(-1, 3 * n)
         grads["W"], grads["b"] = p["E"][before].T @ dflat, dflat.sum(axis=0)
-        np.add.at(grads["E"], before, dflat @ p["W"].T)
+        order = np.argsort(before, kind="stable")
+        own = np.flatnonzero(np.diff(before[order], prepend=-1))
+        grads["E"][before[order][own]] = np.add.reduceat((dflat @ p["W"].T)[order], own, axis=0)
         return nats, len(live), last, grads
 
-    def train(self, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, width: int = 32, window: int = 24, rate: float = 0.01) -> list[float]:
-        """Trains on texts; the nats a token of each epoch. The seed fixes everything."""
+    def train(self, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, width: int = 32, window: int = 24, rate: float = 0.01, span: tuple[float, float] = (0.0, 1.0), follows: np.ndarray | None = None) -> list[float]:
+        """Trains on texts; the nats a token of each epoch. The seed fixes everything. span: where this call begins and ends in the
+        course of the whole training, over which the rate falls to a tenth."""
         first, second, step, history = {}, {}, 0, []
-        s = streams(ids, bounds, width, self.end)
+        s = streams(ids, bounds, width, self.end, follows)
         total = epochs * -(-len(s.token) // window)
         for _ in range(epochs):
             h, nats, tokens = np.zeros((s.token.shape[1], self.size), np.float32), 0.0, 0
@@ -167,7 +191,7 @@ class Gru:
                 loss, n, h, grads = self.loss_and_gradients(s, lo, min(lo + window, len(s.token)), h)
                 nats, tokens, step = nats + loss, tokens + n, step + 1
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                pace = rate * (1 - 0.9 * step / total)
+                pace = rate * (1 - 0.9 * (span[0] + (span[1] - span[0]) * step / total))
                 for k, g in grads.items():
                     g = g * np.float32(min(1.0, 1.0 / (norm + 1e-12)))
                     first[k] = 0.9 * first.get(k, 0) + np.float32(0.1) * g

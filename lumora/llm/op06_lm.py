@@ -4,11 +4,15 @@ Words are known by their 64-bit hashes. The most frequent HEAD_WORDS are the mod
 TAIL_CLASSES by their first and last byte, and inside a tail class a word has the share (c + 1) / (N_j + V_j + 1) of its training count
 c, of the class's N_j tokens and V_j words. So each score needs the count of every token: counts of the TABLE_WORDS most frequent words
 are broadcast, the rest are looked up in buckets of the hash space, where packed lookups meet the count table.
+
+The recurrent part starts at the log shares of the whole corpus's counts and learns from every training text, in rounds: replicas of
+REPLICA_TOKENS tokens or so, dealt by a hash of the text, train from the broadcast weights, and their weights are averaged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +28,11 @@ from lumora.session import cut, ship
 HEAD_WORDS = 2048
 TAIL_CLASSES = 64
 TABLE_WORDS = 1 << 16
-FIT_TOKENS = 400_000  # the recurrent part is fitted on whole texts of about so many tokens; all counts are over all texts
+REPLICA_TOKENS = 1_000_000  # tokens that a replica trains on in a round, about
+SMALL_TOKENS = 1_200_000  # fewer training tokens are passed over more than once, up to three times
+ROUNDS = (1, 1, 2, 4, 8, 16)  # shares of the texts that the rounds take; with few tokens there is one round
+PARTS = 16  # of the weights, averaged apart
+SEGMENT = 2048  # a longer text trains in parts of so many tokens, the state anew in each
 BUCKET_WORDS = 400_000  # words of the count table in a bucket, about
 BUCKET_LOOKUPS = 2_000_000  # lookups in a bucket, about
 TEXTS = 2000  # texts scored together, or
@@ -161,8 +169,76 @@ def count_words(training: DataFrame) -> DataFrame:
     return cut(counted.groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n")))
 
 
-def fit(training: DataFrame, counts: DataFrame, fit_tokens: int = FIT_TOKENS, seed: int = 0) -> Model:
-    """A model of training(text) and its counts. Without training texts the recurrent part is left as it was drawn."""
+def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The token ids of texts, packed; key: theirs, another one for each copy in a slice, so that copies are dealt too."""
+    model: Model = shared.value
+    for batch in batches:
+        for piece in _pieces(batch):
+            hashes, kinds, at = words_and_classes(piece.column("text"))
+            ids, bounds = model.sequences(model.look_up(hashes, kinds)[1], at)
+            keys = piece.column("key").to_numpy().view(np.uint64)
+            order = np.argsort(keys, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+            nth = np.empty(len(keys), np.uint64)
+            nth[order] = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+            keys = np.where(nth > 0, mix(keys + nth), keys)
+            ids = ids.astype("<u2")
+            blobs = [ids[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(blobs, pa.binary())], ["key", "ids"])
+
+
+def _train(texts: pa.Table, shared, epochs: int, span: tuple[float, float]) -> pa.Table:
+    """The weights of a replica after its texts, times their tokens, in PARTS."""
+    gru: Gru = copy(shared.value)
+    gru.p = {k: v.copy() for k, v in gru.p.items()}
+    replica, texts = texts.column("replica")[0].as_py(), texts.sort_by([("key", "ascending")])
+    blobs = texts.column("ids").to_pylist()
+    lengths = np.array([len(x) // 2 for x in blobs])
+    parts = -(-lengths // SEGMENT)
+    follows = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    bounds = np.append(np.repeat(np.cumsum(lengths) - lengths, parts) + follows * SEGMENT, lengths.sum())
+    width = int(np.clip(lengths.sum() // 6000, 32, 192))
+    gru.train(np.frombuffer(b"".join(blobs), "<u2").astype(np.int32), bounds, epochs=epochs, width=width, span=span, follows=follows > 0)
+    weights = np.array_split(gru.flat().astype(np.float64) * lengths.sum(), PARTS)
+    columns = [[replica] * PARTS, list(range(PARTS)), [int(lengths.sum())] * PARTS, [w.tobytes() for w in weights]]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["replica", "part", "tokens", "weights"])
+
+
+def _average(parts: pa.Table) -> pa.Table:
+    parts = parts.sort_by([("replica", "ascending")])
+    total = sum(np.frombuffer(w.as_py(), np.float64) for w in parts.column("weights"))
+    mean = total / sum(parts.column("tokens").to_pylist())
+    return pa.table([pa.array([parts.column("part")[0].as_py()], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["part", "weights"])
+
+
+def _step(weights, epochs: int, span: tuple[float, float]) -> Callable[[pa.Table], pa.Table]:
+    return lambda texts: _train(texts, weights, epochs, span)
+
+
+def train(training: DataFrame, model: Model) -> None:
+    """Trains the recurrent part of the model on all texts of training(doc_id, text)."""
+    sc = training.sparkSession.sparkContext
+    shared = sc.broadcast(model)
+    keyed = training.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    encoded = cut(keyed.mapInArrow(lambda batches: _encode(batches, shared), "key long, ids binary"))
+    epochs = int(np.clip(-(-SMALL_TOKENS // model.total), 1, 3))
+    shares = np.array(ROUNDS if model.total > SMALL_TOKENS else (1,)) / sum(ROUNDS if model.total > SMALL_TOKENS else (1,))
+    place = F.pmod("key", F.lit(1 << 20)) / float(1 << 20)
+    done = 0.0
+    for i, share in enumerate(shares):
+        upto = done + share if i < len(shares) - 1 else 1.0
+        replicas = max(1, round(model.total * share / REPLICA_TOKENS))
+        weights = sc.broadcast(model.gru)
+        mine = encoded.where((place >= done) & (place < upto)).withColumn("replica", F.pmod(F.shiftright("key", 20), F.lit(replicas)))
+        trained = mine.groupBy("replica").applyInArrow(_step(weights, epochs, (done, upto)), "replica long, part int, tokens long, weights binary")
+        found = trained.groupBy("part").applyInArrow(_average, "part int, weights binary").collect()
+        if found:
+            model.gru.set_flat(np.concatenate([np.frombuffer(r.weights, np.float64) for r in sorted(found, key=lambda r: r.part)]))
+        done = upto
+
+
+def fit(training: DataFrame, counts: DataFrame, seed: int = 0) -> Model:
+    """A model of training(doc_id, text) and its counts. Without training texts the recurrent part is left as it was drawn."""
     texts = training.count()
     top = counts.orderBy(F.desc("n"), "word").limit(TABLE_WORDS).collect()
     by_kind = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
@@ -176,12 +252,8 @@ def fit(training: DataFrame, counts: DataFrame, fit_tokens: int = FIT_TOKENS, se
     order = np.argsort(words)
     model = Model(words[order], np.array([r.n for r in top], np.int64)[order], tokens[order], np.log10(n + v + 1.0), texts, total, distinct, Gru(HEAD_WORDS, TAIL_CLASSES, seed=seed))
     if texts:
-        rate = min(1.0, fit_tokens / total)
-        sample = training.select("text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < rate * (1 << 20)).orderBy("text").toArrow()
-        if sample.num_rows:
-            column = sample.column("text").combine_chunks()
-            hashes, kinds, at = words_and_classes(column)
-            model.gru.train(*model.sequences(model.look_up(hashes, kinds)[1], at))
+        model.gru.start_at(np.array([r.n for r in top[:HEAD_WORDS]]), n, texts)
+        train(training, model)
     return model
 
 

@@ -243,6 +243,28 @@ def test_lm_scores(spark, monkeypatch):
     assert lm.score_texts(table.where("held_out")).select("train_tokens").distinct().collect()[0][0] == 0
 
 
+def test_lm_learns_from_all_texts(spark, monkeypatch):
+    """Replicas together train on every text once, and the averaged weights know the corpus; a single long text is learnt too."""
+    monkeypatch.setattr(lm, "SMALL_TOKENS", 20_000)
+    monkeypatch.setattr(lm, "REPLICA_TOKENS", 20_000)
+    seen = spark.sparkContext.accumulator(0)
+    real = lm._train
+
+    def counted(texts, *rest):
+        seen.add(sum(len(x) // 2 for x in texts.column("ids").to_pylist()))
+        return real(texts, *rest)
+
+    monkeypatch.setattr(lm, "_train", counted)
+    texts = [(i, " ".join(f"a{(i + k) % 7} b{(i + k) % 7}" for k in range(40)), False) for i in range(6000)] + [(-1, "a1 b1 a2 b2 a3 b3", True), (-2, "a1 b3 a2 b1 a3 b2", True)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, held_out boolean").repartition(6)
+    scores = {r.doc_id: r.score for r in lm.score_texts(table).where("held_out").collect()}
+    assert seen.value == 6000 * 81 > 400_000
+    assert scores[-1] > scores[-2] + 3
+    one = spark.createDataFrame([(0, "the of " * 300_000, False), (1, "the of the of", True), (2, "the the of of", True)], "doc_id long, text string, held_out boolean")
+    scores = {r.doc_id: r.score for r in lm.score_texts(one).where("held_out").collect()}
+    assert scores[1] > scores[2] + 1
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((40, 16))
