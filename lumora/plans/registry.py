@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumora.functions import columns
 from lumora.models.bridge import CategoryBridge
+from lumora.models.fusion import TwoStage
 from lumora.models.neighbours import ItemNeighbours, Popularity, cooccurrence
 from lumora.models.walk import GraphWalk, graph_edges, item_edges
 from lumora.operators import compare, evaluate, split
@@ -71,6 +72,19 @@ def _features(data: Dataset) -> DataFrame:
     )
 
 
+def _dense(data: Dataset) -> DataFrame:
+    """The second stage's own feature rows over one retriever: every evaluation row with every candidate, score 0 where it has none."""
+    stage = TwoStage([ItemNeighbours(150).fit(data)])
+    stage.data = data
+    return stage.features(data.eval_rows())
+
+
+def _features_full(data: Dataset) -> DataFrame:
+    rounded = (F.round(c, 8).alias(n) for c, n in (("score0", "knn_score"), ("log_pop", "log_pop"), ("pop_pct", "pop_pct"), ("share_other", "share_other")))
+    counts = (F.col(c).cast("long").alias(n) for c, n in (("rank0", "knn_rank"), ("hist_total", "hist_total"), ("hist_in_vertical", "hist_in_vertical"), ("hist_other", "hist_other_verticals")))
+    return _dense(data).select("user_id", "target", "item_id", *counts, *rounded, (F.col("cold") > 0).alias("cold"))
+
+
 def _blended(data: Dataset) -> DataFrame:
     rows = data.eval_rows()
     mixed = compare.blend(CategoryBridge().fit(data).score(rows), Popularity().fit(data).scores(rows), [0.25, 0.75])
@@ -137,6 +151,8 @@ _OF_DATA: dict[str, Callable[[Dataset], DataFrame]] = {
     "percentile_of_ranks": lambda d: evaluate.rank_by_popularity(d.eval_rows(), d).groupBy("vertical").agg(*(F.round(F.percentile("rank", F.lit(p)), 6).alias(n) for n, p in (("low", 0.025), ("high", 0.975)))),
     "rowwise_zscore": lambda d: ItemNeighbours(150).fit(d).score(d.eval_rows()).select(*KEY, "item_id", F.round(columns.zscore("score", KEY), 6).alias("z")),
     "fusion_features": _features,
+    "rowwise_zscore_full": lambda d: _dense(d).select(*KEY, "item_id", F.round(columns.zscore("score0", KEY), 6).alias("z")),
+    "fusion_features_full": _features_full,
     "blend_rank": _blended,
     "sequence_pairs": lambda d: split.next_pairs(d.train),
     "last_n_history": _history,

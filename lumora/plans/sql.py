@@ -189,6 +189,11 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     "fusion_features": (("score_knn", "pop", "pop_pct", "rows"), """SELECT s.user_id, s.target, s.item_id, row_number() OVER (PARTITION BY s.user_id, s.target, s.vertical ORDER BY round(s.score, 10) DESC, s.item_id) - 1 AS knn_rank, round(ln(1 + p.pop), 8) AS log_pop, round(q.pct, 8) AS pop_pct,
         r.hist_len AS hist_total, r.in_vertical_hist AS hist_in_vertical, r.hist_len - r.in_vertical_hist AS hist_other_verticals, round((r.hist_len - r.in_vertical_hist) / greatest(r.hist_len, 1), 8) AS share_other, r.cold_in_vertical AS cold
         FROM score_knn s JOIN pop p ON p.item_id = s.item_id JOIN pop_pct q ON q.item_id = s.item_id JOIN rows r ON r.user_id = s.user_id AND r.target = s.target"""),
+    "rowwise_zscore_full": (("score_knn", "pairs"), """SELECT user_id, target, vertical, item_id, round((score - avg(score) OVER w) / greatest(stddev_pop(score) OVER w, 1e-8), 6) AS z
+        FROM (SELECT p.user_id, p.target, p.vertical, p.item_id, coalesce(s.score, 0) AS score FROM pairs p LEFT JOIN score_knn s ON s.user_id = p.user_id AND s.target = p.target AND s.vertical = p.vertical AND s.item_id = p.item_id) WINDOW w AS (PARTITION BY user_id, target, vertical)"""),
+    "fusion_features_full": (("score_knn", "pairs", "pop_pct", "rows"), """SELECT p.user_id, p.target, p.item_id, row_number() OVER (PARTITION BY p.user_id, p.target, p.vertical ORDER BY round(coalesce(s.score, 0), 10) DESC, p.item_id) - 1 AS knn_rank, round(coalesce(s.score, 0), 8) AS knn_score, round(ln(1 + p.pop), 8) AS log_pop, round(q.pct, 8) AS pop_pct,
+        r.hist_len AS hist_total, r.in_vertical_hist AS hist_in_vertical, r.hist_len - r.in_vertical_hist AS hist_other_verticals, round((r.hist_len - r.in_vertical_hist) / greatest(r.hist_len, 1), 8) AS share_other, r.cold_in_vertical AS cold
+        FROM pairs p LEFT JOIN score_knn s ON s.user_id = p.user_id AND s.target = p.target AND s.vertical = p.vertical AND s.item_id = p.item_id JOIN pop_pct q ON q.item_id = p.item_id JOIN rows r ON r.user_id = p.user_id AND r.target = p.target AND r.vertical = p.vertical"""),
     "blend_rank": (("open_pairs", "score_popularity", "score_bridge", "rows"), """WITH joined AS (SELECT p.user_id, p.target, p.vertical, p.item_id, (p.score - avg(p.score) OVER w) / greatest(stddev_pop(p.score) OVER w, 1e-8) AS zb, (s.score - avg(s.score) OVER w) / greatest(stddev_pop(s.score) OVER w, 1e-8) AS za
             FROM score_popularity p JOIN score_bridge s ON s.user_id = p.user_id AND s.target = p.target AND s.item_id = p.item_id WINDOW w AS (PARTITION BY p.user_id, p.target, p.vertical)),
         mixed AS (SELECT b.*, a.alpha, round(a.alpha * za + (1 - a.alpha) * zb, 6) AS score FROM joined b SEMI JOIN open_pairs o ON o.user_id = b.user_id AND o.target = b.target AND o.item_id = b.item_id, (VALUES (CAST(0.25 AS DOUBLE)), (CAST(0.75 AS DOUBLE))) a(alpha))

@@ -42,3 +42,13 @@ def test_query(spark, tables, name):
     assert sorted(names) == columns
     want = sorted((tuple(normal(r[names.index(c)]) for c in columns) for r in relation.fetchall()), key=repr)
     assert got == want
+
+
+def test_dense_fusion_rows(spark):
+    """A row for each evaluation row and candidate, the target among them, whether the retriever scores it or not."""
+    data = registry._data(spark, SF)
+    pool = {r.vertical: r["count"] for r in data.candidates.groupBy("vertical").count().collect()}
+    want = sum(pool[r.vertical] for r in data.eval_rows().select("vertical").collect())
+    features = registry.queries()["fusion_features_full"](spark, SF).collect()
+    assert len(features) == want > registry.queries()["fusion_features"](spark, SF).count()
+    assert sum(r.item_id == r.target for r in features) == data.eval_rows().count() and any(r.knn_score == 0 for r in features)
