@@ -30,26 +30,33 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset on a local master (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumora-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
+def scratch(spark: SparkSession, name: str = "") -> str:
+    """A path of its own in the application's part of the shared folder, which is removed when Python ends."""
+    folder = f"{checkpoint_dir(spark)}/lumora-{spark.sparkContext.applicationId}"
+    _remove_at_exit(spark, folder)
+    return f"{folder}/{name}{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage: a Parquet table in the shared folder, written and read again.
 
     A table rather than checkpoint(): a checkpoint hands its plan's constraints on, which double with each round of an iteration
-    until planning takes longer than the work. The tables of an application are in one folder, removed when Python ends.
+    until planning takes longer than the work.
     """
     spark = df.sparkSession
-    folder = f"{checkpoint_dir(spark)}/lumora-{spark.sparkContext.applicationId}"
-    _remove_at_exit(spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
