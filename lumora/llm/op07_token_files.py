@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.llm.op03_mixing import running
-from lumora.llm.wordcache import WordCache, open_tokenizer
-from lumora.session import checkpoint_dir, ship
+from lumora.llm.wordcache import id_bytes, shared_cache
+from lumora.session import cut, scratch, ship
 
 MAGIC = b"PFOR0001"
 BLOCK = 256
@@ -114,7 +114,7 @@ def from_bytes(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def _put(folder: str, name: str, raw: bytes) -> None:
-    """Writes a file whole: under a name of its own first, then renamed, so that a task run again only repeats it."""
+    """Writes a file whole: under a name of its own first, then renamed. What an earlier run of the task left is replaced."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(folder)
@@ -122,11 +122,13 @@ def _put(folder: str, name: str, raw: bytes) -> None:
     own = f"{path}/_{name}-{uuid.uuid4().hex}"
     with store.open_output_stream(own) as out:
         out.write(raw)
+    if store.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
+        store.delete_file(f"{path}/{name}")
     store.move(own, f"{path}/{name}")
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    cache = WordCache(open_tokenizer(path), lambda ids: np.array(ids, "<u4").tobytes())
+    cache = shared_cache(path, id_bytes)
     end = np.array([end_id], "<u4").tobytes()
     part, doc_ids, texts, size, files, n_ids = TaskContext.get().partitionId(), [], [], 0, 0, 0
 
@@ -153,7 +155,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> tuple[int, int]:
     """Encodes docs(doc_id, text) and writes their ids, each document's followed by end_id, into files under folder; returns
-    (files, ids). The files' names ascend as the doc_ids in them, null first; rows of one doc_id stand together by text.
+    (files, ids). The files' names ascend as the doc_ids in them, null first; rows of one doc_id stand together by a hash of
+    the text, and may fill several ranges.
 
     folder: a URI that the executors share and pyarrow can write (file://, hdfs://, s3:// ...). A null text is empty.
     An empty table writes no file.
@@ -161,8 +164,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> tu
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    done = ranged.mapInArrow(partial(_write, folder=folder, path=path, end_id=end_id), "files long, ids long")
+    order = ["doc_id", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row")]
+    ranged = docs.select("text", *order).repartitionByRange(parts, "doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash", "_row")
+    done = ranged.select("doc_id", "text").mapInArrow(partial(_write, folder=folder, path=path, end_id=end_id), "files long, ids long")
     files, ids = done.agg(F.sum("files"), F.sum("ids")).first()
     return files or 0, ids or 0
 
@@ -197,11 +201,11 @@ def written_and_read(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = scratch(spark, "tokens-")
     files, _ = write_tokens(docs, folder, path, end_id)
     if not files:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    found = read_tokens(spark, folder)
+    found = cut(read_tokens(spark, folder))
     sizes = found.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
     before = running(sizes, "file", "ids", "before").select("file", "before")
     return found.join(before, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -1,7 +1,8 @@
 """The tokenizers library over texts through a cache of their white-space-delimited words.
 
 The word_bpe vocabularies drop white space before any merge, so a text's ids are those of its words one after another. A word is
-encoded by the library once and kept; frequent words can be given beforehand.
+encoded by the library once and kept; frequent words can be given beforehand. Unseen words of Latin letters go to the library's
+model directly: its steps before the model only turn them into lower case and their bytes into the characters that stand for them.
 """
 
 from __future__ import annotations
@@ -9,12 +10,19 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
+from string import punctuation
 
-CACHE_WORDS = 400_000
-TAIL = ".,;:!?"
+import numpy as np
+
+CACHE_WORDS = 300_000  # words in each of the cache's two generations, about
+_LATIN = re.compile(f"([a-zªµºß-öø-į]+)([{re.escape(punctuation.replace(chr(39), ''))}]*)")  # letters, then marks other than '
+_PROBES = ("word", "straße", "ñandú", "àéîõü", "lettersletters", "ÿþ", "x")
 _CONTROL = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the library
 
 
+@lru_cache(maxsize=2)
 def open_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
@@ -27,48 +35,96 @@ def open_tokenizer(path: str):
     return tokenizer
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes: visible ones for themselves, the others from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [x for x in range(256) if x not in visible]
+    return {x: chr(256 + i) for i, x in enumerate(hidden)}
+
+
+_HIDDEN = _byte_characters()
+
+
+def _model_word(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_HIDDEN)
+
+
+@lru_cache(maxsize=2)
+def _direct(path: str) -> bool:
+    """Whether the model alone gives the ids that the library gives to words of lower-case Latin letters."""
+    tokenizer = open_tokenizer(path)
+    return all([t.id for t in tokenizer.model.tokenize(_model_word(w))] == tokenizer.encode(w, add_special_tokens=False).ids for w in _PROBES)
+
+
+def lengths(ids: np.ndarray, bounds: np.ndarray) -> list[int]:
+    """Of each word the number of its ids."""
+    return np.diff(bounds).tolist()
+
+
+def id_bytes(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Of each word its ids as little-endian unsigned 32-bit integers."""
+    raw, at = ids.astype("<u4").tobytes(), (bounds * 4).tolist()
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+@lru_cache(maxsize=2)
+def shared_cache(path: str, value: Callable) -> WordCache:
+    """The cache of this worker, kept from task to task."""
+    return WordCache(path, value)
+
+
 class WordCache:
-    """value turns the ids of a word into what is kept; what is kept can be added (lengths, or bytes of ids)."""
+    """value turns the ids of words, and where each one's begin, into what is kept of each, which can be added (lengths, bytes)."""
 
-    def __init__(self, tokenizer, value: Callable[[list[int]], object], frequent: dict | None = None):
-        self.tokenizer, self.value, self.frequent = tokenizer, value, frequent or {}
-        self.known = dict(self.frequent)
+    def __init__(self, path: str, value: Callable[[np.ndarray, np.ndarray], list], frequent: dict | None = None):
+        self.tokenizer, self.direct = open_tokenizer(path), _direct(path)
+        self.value, self.frequent = value, frequent or {}
+        self.known, self.old = dict(self.frequent), {}
 
-    def _encode(self, words: list[str]) -> None:
+    def _values(self, words: list[str], ids: list[list[int]]) -> dict:
+        flat = np.fromiter(chain.from_iterable(ids), np.int64)
+        return dict(zip(words, self.value(flat, np.cumsum([0, *map(len, ids)])), strict=True))
+
+    def _encode(self, words: list[str]) -> dict:
+        found = {}
         for i in range(0, len(words), 10_000):
             part = words[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = self.value(e.ids)
+            found |= self._values(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
+        return found
+
+    def _encode_letters(self, words: list[str]) -> dict:
+        """As _encode, for words of lower-case Latin letters."""
+        if not self.direct:
+            return self._encode(words)
+        tokenize = self.tokenizer.model.tokenize
+        return self._values(words, [[t.id for t in tokenize(_model_word(w))] for w in words])
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Latin words with a tail of marks are put together from the two parts, which the library always splits."""
-        parts = {}
+        parts, other = [], []
         for w in words:
-            if max(w) < "İ":
-                low = w.lower()
-                core = low.rstrip(TAIL)
-                if core.isalpha():
-                    parts[w] = (core, low[len(core) :])
-        needed = {p for pair in parts.values() for p in pair if p} | (words - parts.keys())
-        self._encode(list(needed.difference(self.known)))
-        for w, (core, tail) in parts.items():
-            self.known[w] = self.known[core] + self.known[tail] if tail else self.known[core]
+            if w in self.old:
+                self.known[w] = self.old[w]
+            elif latin := _LATIN.fullmatch(w.lower()):
+                parts.append((w, *latin.groups()))
+            else:
+                other.append(w)
+        letters = self._encode_letters(list({core for _, core, _ in parts}))
+        self.known.update(self._encode([*other, *({tail for *_, tail in parts if tail} - self.known.keys())]))
+        for w, core, tail in parts:
+            self.known[w] = letters[core] + self.known[tail] if tail else letters[core]
 
     def words(self, texts: list[str]) -> Iterator[list]:
         """For each text what is kept of its words, in order."""
         for i in range(0, len(texts), 500):
             part = texts[i : i + 500]
             split = [t.split() if not _CONTROL.search(t) else None for t in part]
-            found = [None if s is None else list(map(self.known.get, s)) for s in split]
-            missing: set[str] = set()
-            short = [k for k, f in enumerate(found) if f is not None and None in f]
-            for k in short:
-                missing.update(w for w, v in zip(split[k], found[k], strict=True) if v is None)
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                self.known = dict(self.frequent)
-                missing = set().union(*(split[k] for k in short))
-            self._learn(missing)
-            for k in short:
-                found[k] = [self.known[w] if v is None else v for w, v in zip(split[k], found[k], strict=True)]
-            for text, values in zip(part, found, strict=True):
-                yield [self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)] if values is None else values
+            if len(self.known) > CACHE_WORDS + len(self.frequent):
+                self.known, self.old = dict(self.frequent), self.known
+            self._learn([w for w in set(chain.from_iterable(filter(None, split))) if w not in self.known])
+            for text, words in zip(part, split, strict=True):
+                if words is None:
+                    ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+                    yield self.value(ids, np.array([0, len(ids)]))
+                else:
+                    yield list(map(self.known.__getitem__, words))
