@@ -9,9 +9,10 @@ from lumora.models.base import Recommender
 from lumora.models.catalog import build
 from lumora.operators.compare import compare, interleaving_test, power_analysis
 from lumora.operators.dataset import Dataset
-from lumora.operators.evaluate import Evaluation, best, evaluate, failed, top_lists
+from lumora.operators.evaluate import Evaluation, best, evaluate, failed
 from lumora.operators.online import split_test
 from lumora.planner import Hypothesis, State, guardrails, judge, plan_round, prune, reconcile, resolve, should_stop
+from lumora.session import cut
 
 RETRIEVERS = ("item_knn", "bpr_mf", "graph_walk", "cross_vertical_bridge", "sasrec")
 
@@ -32,7 +33,7 @@ class Experiment:
     def __init__(self, data: Dataset, max_rounds: int = 4, time_budget: float | None = None, seed: int = 0, advisor=None):
         self.data, self.max_rounds, self.time_budget, self.seed, self.advisor = data, max_rounds, time_budget, seed, advisor
         self.models: dict[str, Recommender] = {}
-        self.rows = data.eval_rows().cache()
+        self.rows = cut(data.eval_rows())
 
     def survivors(self, state: State, n: int = 3) -> list[Recommender]:
         """The best fitted model of each family of retrievers that is left, n at most."""
@@ -49,7 +50,7 @@ class Experiment:
             label = model.name
             model.fit(self.data)
             fit = time.monotonic() - started
-            found = evaluate(model.name, model.family, self.rows, self.data, model.score(self.rows), model.dense, params)
+            found = evaluate(model, self.rows, self.data, params)
             found.fit_seconds = fit
             self.models[model.name] = model
             return found
@@ -97,11 +98,6 @@ class Experiment:
         run.seconds = time.monotonic() - started
         return run
 
-    def _top(self, name: str):
-        model = self.models[name]
-        scores = model.score(self.rows)
-        return top_lists(model.scores(self.rows) if scores is None else scores, self.data)
-
     def decide(self, state: State) -> dict:
         """The champion against popularity and the best classical arm, in that order; online tests against the first."""
         champion = best(list(state.results.values()))
@@ -114,7 +110,7 @@ class Experiment:
             arms = champion.per_row, state.results[name].per_row
             out["comparisons"][name] = compare(*arms, seed=self.seed) | {"power": power_analysis(*arms)}
         if against:
-            tops = self._top(champion.model), self._top(against[0])
+            tops = tuple(cut(self.models[name].top(self.rows)) for name in (champion.model, against[0]))
             out["interleaving"] = interleaving_test(*tops, seed=self.seed)
             if self.data.log is not None:
                 out["split_test"] = split_test(*tops, self.data.log, seed=self.seed)

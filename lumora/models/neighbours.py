@@ -9,12 +9,15 @@ from lumora.functions.columns import half_life
 from lumora.models.base import Recommender
 from lumora.operators.dataset import Dataset
 from lumora.operators.evaluate import KEY, expand
+from lumora.session import cut
 
 
 def cooccurrence(seen: DataFrame) -> DataFrame:
     """(i, j, co) with i <> j: users who have both items in train."""
     a, b = seen.select("user_id", F.col("item_id").alias("i")), seen.select("user_id", F.col("item_id").alias("j"))
-    return a.join(b, "user_id").where("i <> j").groupBy("i", "j").agg(F.count("*").alias("co"))
+    once = a.join(b, "user_id").where("i < j").groupBy("i", "j").agg(F.count("*").alias("co"))
+    both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return once.select(F.explode(both).alias("pair"), "co").select("pair.i", "pair.j", "co")
 
 
 def strongest(edges: DataFrame, source: str, weight: str, other: str, k: int) -> DataFrame:
@@ -68,7 +71,7 @@ class ItemNeighbours(Recommender):
         norms = data.popularity.select("item_id", (F.sqrt("pop") + self.shrink).alias("norm"))
         pairs = cooccurrence(data.seen).join(norms.toDF("i", "norm_i"), "i").join(norms.toDF("j", "norm_j"), "j")
         pairs = pairs.select("i", "j", F.round(F.col("co") / (F.col("norm_i") * F.col("norm_j")), 12).alias("similarity"))
-        self.similarity = strongest(pairs, "i", "similarity", "j", self.top_k)
+        self.similarity = cut(strongest(pairs, "i", "similarity", "j", self.top_k))
         return self
 
     def history(self) -> DataFrame:

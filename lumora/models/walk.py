@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import cached_property, partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +16,11 @@ from lumora.functions.columns import half_life
 from lumora.models.base import Recommender
 from lumora.models.neighbours import cooccurrence, strongest
 from lumora.operators.dataset import Dataset
-from lumora.operators.evaluate import KEY
-from lumora.session import cut
+from lumora.operators.evaluate import KEY, unmasked_sizes, with_seen
+from lumora.session import cut, ship
+
+BROADCAST_EDGES = 10_000_000  # so many edges of 20 bytes at most are broadcast; beyond that the walk is joins
+WALK_ROWS = 32  # evaluation rows whose scores leave a task together
 
 
 def share(edges: DataFrame, source: str = "src", weight: str = "w") -> DataFrame:
@@ -77,17 +87,168 @@ class GraphWalk(Recommender):
         return weighed.where("w > 0").groupBy("user_id", "vertical", "node").agg(F.sum("w").alias("w"))
 
     def score(self, rows: DataFrame) -> DataFrame:
-        """The last step keeps only what ends on a candidate of the vertical; each step cuts its lineage."""
+        if self.graph is None:
+            return self._score_by_joins(rows)
+        return self._walked(rows.select(*KEY), _all_scores)
+
+    def rank(self, rows: DataFrame) -> DataFrame:
+        """Ranked where the walk ends, so that no score leaves its task."""
+        if self.graph is None:
+            return super().rank(rows)
+        ranked = self._walked(with_seen(rows.select(*KEY), self.data), _own_rank).select(*KEY, F.col("score").cast("long").alias("rank"))
+        return unmasked_sizes(rows, self.data).join(ranked, list(KEY), "left").withColumn("rank", F.coalesce("rank", "n_open")).drop("n_open")
+
+    def top(self, rows: DataFrame, k: int = 10) -> DataFrame:
+        if self.graph is None:
+            return super().top(rows, k)
+        best = self._walked(with_seen(rows.select(*KEY), self.data), partial(_best, k=k))
+        return best.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), "item_id")))
+
+    @cached_property
+    def graph(self) -> Broadcast | None:
+        """The numbered edges, broadcast; None where there are more than BROADCAST_EDGES. An item's edges are top_k and its attributes."""
+        if self.edges.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
+            return None
+        nodes = self.nodes
+        numbered = self.edges.join(nodes.toDF("src", "i"), "src").join(nodes.toDF("dst", "j"), "dst").select("i", "j", "w").toArrow()
+        pool = self.data.candidates.select(F.concat(F.lit("item="), F.col("item_id").cast("string")).alias("node"), "vertical", "item_id").join(nodes, "node")
+        found, pools = pool.select("vertical", "number", "item_id").toArrow(), {}
+        for v in found.column("vertical").unique().to_pylist():
+            mine = found.filter(pc.equal(found.column("vertical"), v)).sort_by("item_id")
+            pools[v] = (mine.column("number").to_numpy(), mine.column("item_id").combine_chunks())
+        return self.edges.sparkSession.sparkContext.broadcast(Graph(nodes.count(), *(numbered.column(c).to_numpy() for c in ("i", "j", "w")), pools))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """(node, number) of the graph's nodes, candidates and items; only called for graphs that can be broadcast."""
+        ends = self.edges.select(F.explode(F.array("src", "dst")).alias("node")).union(self.data.items.select(F.concat(F.lit("item="), F.col("item_id").cast("string"))))
+        return cut(ends.distinct().withColumn("number", F.row_number().over(Window.orderBy("node")) - 1))
+
+    def _walked(self, rows: DataFrame, finish: Callable) -> DataFrame:
+        """(KEY, item_id, score): what `finish` keeps of each row's candidates."""
+        spark = rows.sparkSession
+        ship(spark)
+        seeds = self.seeds(rows).join(self.nodes, "node").groupBy("user_id", "vertical").agg(F.collect_list("number").alias("nodes"), F.collect_list("w").alias("weights"))
+        asked = rows.join(seeds, ["user_id", "vertical"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+        graph, length, restart = self.graph, self.length, self.restart
+        kinds = dict(rows.dtypes)
+        schema = ", ".join([*(f"{k} {kinds[k]}" for k in KEY), f"item_id {dict(self.data.candidates.dtypes)['item_id']}", "score double"])
+        return asked.mapInArrow(lambda batches: _walk(batches, graph, length, restart, finish), schema)
+
+    def _score_by_joins(self, rows: DataFrame) -> DataFrame:
+        """The same as joins of states with edges, for graphs of any size. The last step keeps only what ends on a candidate of the
+        vertical; each step cuts its lineage."""
         seeds = cut(self.seeds(rows))
         pool = self.data.candidates.select(F.concat(F.lit("item="), F.col("item_id").cast("string")).alias("node"), "vertical", "item_id")
         again = seeds.withColumn("w", F.col("w") * self.restart)
         state, total = seeds, None
         for step in range(self.length):
-            edges = self.edges.toDF("node", "dst", "t")
+            edges, on = self.edges.toDF("node", "dst", "t"), ["node"]
             if step == self.length - 1:
-                edges = edges.join(pool.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
-            moved = state.join(edges, "node").select("user_id", "vertical", F.col("dst").alias("node"), (F.col("w") * F.col("t") * (1 - self.restart)).alias("w"))
+                edges, on = edges.join(pool.select(F.col("node").alias("dst"), "vertical"), "dst"), ["node", "vertical"]
+            moved = state.join(edges, on).select("user_id", "vertical", F.col("dst").alias("node"), (F.col("w") * F.col("t") * (1 - self.restart)).alias("w"))
             state = cut(moved.unionByName(again).groupBy("user_id", "vertical", "node").agg(F.sum("w").alias("w")))
             total = state if total is None else total.unionByName(state)
         scored = total.join(pool, ["node", "vertical"]).groupBy("user_id", "vertical", "item_id").agg(F.sum("w").alias("score"))
         return rows.select(*KEY).join(scored, ["user_id", "vertical"]).select(*KEY, "item_id", "score")
+
+
+class Graph:
+    """Numbered edges by source and by end, and each vertical's candidates (numbers, items)."""
+
+    def __init__(self, n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, pools: dict):
+        self.n, self.pools = n, pools
+        order = np.lexsort((j, i))
+        self.first, self.ends, self.shares = np.searchsorted(i[order], np.arange(n + 1)), j[order].astype(np.int32), w[order]
+        self._into: dict = {}
+
+    def into(self, vertical):
+        """(sources, shares, where each candidate's edges begin, candidates that have any) of the edges into a vertical's candidates;
+        into all nodes for None."""
+        if vertical not in self._into:
+            i = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.first))
+            place = np.full(self.n, -1)
+            place[self.pools[vertical][0] if vertical is not None else np.arange(self.n)] = np.arange(len(self.pools[vertical][0]) if vertical is not None else self.n)
+            to = place[self.ends]
+            order = np.argsort(to, kind="stable")[np.count_nonzero(to < 0) :]
+            at, begin = np.unique(to[order], return_index=True)
+            self._into[vertical] = i[order], self.shares[order], begin, at
+        return self._into[vertical]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_into": {}}
+
+    def step(self, state: np.ndarray, vertical=None) -> np.ndarray:
+        """state * T, for a state over all nodes; only over a vertical's candidates if it is given."""
+        some = np.flatnonzero(state)
+        if vertical is None and len(some) * 8 < self.n:
+            counts = self.first[some + 1] - self.first[some]
+            at = np.repeat(self.first[some] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            return np.bincount(self.ends[at], np.repeat(state[some], counts) * self.shares[at], self.n)
+        sources, shares, begin, to = self.into(vertical)
+        out = np.zeros(self.n if vertical is None else len(self.pools[vertical][0]))
+        if len(begin):
+            out[to] = np.add.reduceat(state[sources] * shares, begin)
+        return out
+
+    def walk(self, nodes: np.ndarray, weights: np.ndarray, vertical, length: int, restart: float) -> np.ndarray:
+        """The summed states of the walk at the vertical's candidates."""
+        seed = np.bincount(nodes, weights, self.n)
+        state, mine = seed, self.pools[vertical][0]
+        total = np.zeros(len(mine))
+        for step in range(length):
+            if step < length - 1:
+                state = (1 - restart) * self.step(state) + restart * seed
+                total += state[mine]
+            else:
+                total += (1 - restart) * self.step(state, vertical) + restart * seed[mine]
+        return total
+
+
+def _open(scores: np.ndarray, masked: np.ndarray, own: int) -> np.ndarray:
+    """Where candidates have a score and aren't masked; the target, own, never is."""
+    hidden = np.zeros(len(scores), bool)
+    hidden[masked] = True
+    if own >= 0:
+        hidden[own] = False
+    return np.flatnonzero((scores > 0) & ~hidden)
+
+
+def _all_scores(scores: np.ndarray, masked: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    some = np.flatnonzero(scores)
+    return some, scores[some]
+
+
+def _own_rank(scores: np.ndarray, masked: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """The target with its rank as score; nothing if it has no positive score."""
+    if own < 0 or scores[own] <= 0:
+        return np.zeros(0, np.int64), np.zeros(0)
+    return np.array([own]), np.array([np.count_nonzero(scores[_open(scores, masked, own)] >= scores[own])], float)
+
+
+def _best(scores: np.ndarray, masked: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    some = _open(scores, masked, own)
+    best = some[np.argsort(-scores[some], kind="stable")[:k]]
+    return best, scores[best]
+
+
+def _walk(batches: Iterator[pa.RecordBatch], shared: Broadcast, length: int, restart: float, finish: Callable) -> Iterator[pa.RecordBatch]:
+    graph: Graph = shared.value
+    for batch in batches:
+        for lo in range(0, batch.num_rows, WALK_ROWS):
+            part = batch.slice(lo, WALK_ROWS)
+            items, scores, times = [], [], []
+            for row in range(part.num_rows):
+                vertical = part.column("vertical")[row].as_py()
+                found = graph.walk(*(part.column(c)[row].values.to_numpy() for c in ("nodes", "weights")), vertical, length, restart)
+                if not np.isfinite(found).all():
+                    raise ValueError("non-finite score")
+                pool = graph.pools[vertical][1]
+                known = pc.index_in(part.column("seen")[row].values, pool) if "seen" in part.schema.names else pa.array([], pa.int32())
+                own = pc.index_in(part.column("target")[row], pool).as_py()
+                kept, values = finish(np.round(found, 10) if finish is not _all_scores else found, known.drop_null().to_numpy(), -1 if own is None else own)
+                items.append(pool.take(pa.array(kept)))
+                scores.append(values)
+                times.append(len(values))
+            rows = pa.array(np.repeat(np.arange(part.num_rows), times))
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in KEY), pa.concat_arrays(items), pa.array(np.concatenate(scores))], [*KEY, "item_id", "score"])

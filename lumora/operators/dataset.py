@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumora.functions.columns import gini, percent_rank_average
 from lumora.operators.split import MIN_USER_EVENTS, frequent, leave_one_out, referenced
 from lumora.schema import EVENTS, ITEMS, require
+from lumora.session import cut
 
 MAX_CANDIDATES = 3000
 COLD_EVENTS = 2
@@ -20,7 +21,10 @@ TAIL = 0.70
 
 @dataclass
 class Dataset:
-    """events carry the part (train, val, test, or null: a held-out item unknown to train); items have events."""
+    """events carry the part (train, val, test, or null: a held-out item unknown to train); items have events.
+
+    seen, popularity and candidates are computed once, as tables: every model and measure reads them.
+    """
 
     events: DataFrame
     items: DataFrame
@@ -34,13 +38,13 @@ class Dataset:
     @cached_property
     def seen(self) -> DataFrame:
         """(user_id, item_id) of train, once each: the user-item matrix."""
-        return self.train.select("user_id", "item_id").distinct()
+        return cut(self.train.select("user_id", "item_id").distinct())
 
     @cached_property
     def popularity(self) -> DataFrame:
         """(item_id, vertical, pop): distinct users in train, 0 where there are none."""
         users = self.seen.groupBy("item_id").agg(F.count("*").alias("pop"))
-        return self.items.select("item_id", "vertical").join(users, "item_id", "left").withColumn("pop", F.coalesce("pop", F.lit(0)))
+        return cut(self.items.select("item_id", "vertical").join(users, "item_id", "left").withColumn("pop", F.coalesce("pop", F.lit(0))))
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -49,7 +53,7 @@ class Dataset:
         top = self.popularity.withColumn("_place", F.row_number().over(by_pop)).where(F.col("_place") <= self.max_candidates).drop("_place")
         targets = self.events.where("part in ('test', 'val')").select("item_id")
         forced = self.popularity.join(targets, "item_id", "left_semi")
-        return top.union(forced).distinct()
+        return cut(top.union(forced).distinct())
 
     def eval_rows(self, part: str = "test") -> DataFrame:
         """A row for each held-out target whose user has a history: user_id, target, vertical, history counts and slice flags."""
@@ -87,4 +91,4 @@ def build_dataset(events: DataFrame, items: DataFrame, min_user_events: int = MI
     """Checks the columns, keeps users with enough events and items and events that refer to one another, and splits."""
     events, items = frequent(require(events, EVENTS, "the log"), "user_id", min_user_events), require(items, ITEMS, "the item table")
     events, items = referenced(events, items)
-    return Dataset(leave_one_out(events), items, max_candidates)
+    return Dataset(cut(leave_one_out(events)), cut(items), max_candidates)

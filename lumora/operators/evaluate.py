@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumora.functions.columns import hit, ndcg
 from lumora.operators.dataset import Dataset
+from lumora.session import cut
 
 KS = (5, 10, 20)
 METRICS = tuple(f"{m}_at_{k}" for k in KS for m in ("hit", "ndcg"))
@@ -58,13 +59,14 @@ def guarded(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.when(bad, F.raise_error(F.lit("non-finite score")).cast("double")).otherwise(F.round("score", 10)))
 
 
-def unmasked_sizes(rows: DataFrame, data: Dataset) -> DataFrame:
-    """rows with n_open: the candidates of their vertical that aren't masked (the target always counts)."""
+def unmasked_sizes(rows: DataFrame, data: Dataset, hidden: str | None = None) -> DataFrame:
+    """rows with n_open: the candidates of their vertical that aren't masked (the target always counts); how many are, as `hidden`."""
     pool = data.candidates.groupBy("vertical").agg(F.count("*").alias("n_pool"))
     inside = data.seen.join(data.candidates.select("item_id", "vertical"), "item_id")
-    hidden = rows.select(*KEY).join(inside, ["user_id", "vertical"]).where("item_id <> target").groupBy(*KEY).agg(F.count("*").alias("n_hidden"))
-    sized = rows.join(F.broadcast(pool), "vertical").join(hidden, list(KEY), "left")
-    return sized.withColumn("n_open", F.col("n_pool") - F.coalesce("n_hidden", F.lit(0))).drop("n_pool", "n_hidden")
+    masked = rows.select(*KEY).join(inside, ["user_id", "vertical"]).where("item_id <> target").groupBy(*KEY).agg(F.count("*").alias("n_hidden"))
+    sized = rows.join(pool, "vertical").join(masked, list(KEY), "left").withColumn("n_hidden", F.coalesce("n_hidden", F.lit(0)))
+    sized = sized.withColumn("n_open", F.col("n_pool") - F.col("n_hidden")).drop("n_pool")
+    return sized.withColumnRenamed("n_hidden", hidden) if hidden else sized.drop("n_hidden")
 
 
 def rank_targets(rows: DataFrame, scores: DataFrame, data: Dataset, dense: bool = False) -> DataFrame:
@@ -81,6 +83,13 @@ def rank_targets(rows: DataFrame, scores: DataFrame, data: Dataset, dense: bool
     return ranked.withColumn("rank", F.when(F.col("_own") > 0, F.col("rank")).otherwise(F.col("n_open"))).drop("_own", "n_open")
 
 
+def with_seen(rows: DataFrame, data: Dataset) -> DataFrame:
+    """rows with the items that the user has in train, as the array seen."""
+    seen = data.seen.groupBy("user_id").agg(F.collect_list("item_id").alias("seen"))
+    none = F.array().cast(dict(seen.dtypes)["seen"])
+    return rows.join(seen, "user_id", "left").withColumn("seen", F.coalesce("seen", none))
+
+
 def rank_by_popularity(rows: DataFrame, data: Dataset) -> DataFrame:
     """The ranks under popularity, without a row for each candidate: the pool's counts by popularity, less the masked ones."""
     pool = data.candidates.groupBy("vertical", "pop").agg(F.count("*").alias("n"))
@@ -124,6 +133,15 @@ def top_lists(scores: DataFrame, data: Dataset, k: int = 10) -> DataFrame:
     return mask_seen(guarded(scores), data).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
+def top_by_popularity(rows: DataFrame, data: Dataset, k: int = 10) -> DataFrame:
+    """The same under popularity, without a row for each candidate: the k best are among the first k plus as many as are masked."""
+    by_pop = Window.partitionBy("vertical").orderBy(F.desc("pop"), "item_id")
+    pool = data.candidates.withColumn("_at", F.row_number().over(by_pop))
+    sized = unmasked_sizes(rows, data, hidden="_hidden").select(*KEY, F.least(F.col("_hidden") + k, F.col("_hidden") + F.col("n_open")).cast("int").alias("_last"))
+    tried = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), "_last"))).join(pool, ["vertical", "_at"])
+    return top_lists(tried.select(*KEY, "item_id", F.col("pop").cast("double").alias("score")), data, k)
+
+
 def coverage_and_novelty(top: DataFrame, data: Dataset) -> DataFrame:
     """One row: the share of items that some list shows, and the mean of -log2 of the shown items' popularity share."""
     n_items = data.items.agg(F.count("*").alias("n_items"))
@@ -164,13 +182,12 @@ def leaderboard(per_row: dict[str, DataFrame], metric: str = PRIMARY) -> DataFra
     return union.orderBy(F.desc(metric), "model")
 
 
-def evaluate(name: str, family: str, rows: DataFrame, data: Dataset, scores: DataFrame | None, dense: bool, params: dict | None = None) -> Evaluation:
-    """Ranks and measures a model's scores on evaluation rows; scores None means popularity. Raises on non-finite scores."""
-    ranked = rank_by_popularity(rows, data) if scores is None else rank_targets(rows, scores, data, dense)
-    per_row = with_metrics(ranked).cache()
-    top = top_lists(expand(rows, data).withColumn("score", F.col("pop").cast("double")) if scores is None else scores, data)
-    extra = coverage_and_novelty(top, data).first().asDict()
-    return Evaluation(name, family, per_row, metric_means(per_row).first().asDict() | extra, {r["slice"]: r.asDict() for r in metrics_by_slice(per_row).collect()}, params=params or {})
+def evaluate(model, rows: DataFrame, data: Dataset, params: dict | None = None) -> Evaluation:
+    """Ranks and measures a fitted model on evaluation rows. Raises on non-finite scores."""
+    per_row = cut(with_metrics(model.rank(rows)))
+    extra = coverage_and_novelty(model.top(rows), data).first().asDict()
+    by_slice = {r["slice"]: r.asDict() for r in metrics_by_slice(per_row).collect()}
+    return Evaluation(model.name, model.family, per_row, metric_means(per_row).first().asDict() | extra, by_slice, params=params or {})
 
 
 def failed(name: str, family: str, error: Exception) -> Evaluation:

@@ -38,9 +38,7 @@ def _line(df: DataFrame) -> DataFrame:
 
 
 def _measured(data: Dataset, model) -> DataFrame:
-    rows, scores = data.eval_rows(), model.fit(data).score(data.eval_rows())
-    ranked = evaluate.rank_by_popularity(rows, data) if scores is None else evaluate.rank_targets(rows, scores, data, model.dense)
-    return evaluate.with_metrics(ranked)
+    return evaluate.with_metrics(model.fit(data).rank(data.eval_rows()))
 
 
 def _paired(data: Dataset) -> DataFrame:
@@ -122,8 +120,8 @@ _OF_DATA: dict[str, Callable[[Dataset], DataFrame]] = {
     "rank_popularity": lambda d: _ranks(evaluate.rank_by_popularity(d.eval_rows(), d)),
     "metrics_popularity": lambda d: evaluate.metric_means(_measured(d, Popularity())),
     "slice_metrics": lambda d: evaluate.metrics_by_slice(_measured(d, Popularity())),
-    "coverage_novelty": lambda d: evaluate.coverage_and_novelty(evaluate.top_lists(Popularity().fit(d).scores(d.eval_rows()), d), d),
-    "top10_popularity": lambda d: evaluate.top_lists(Popularity().fit(d).scores(d.eval_rows()), d).select(*KEY, "item_id", "place"),
+    "coverage_novelty": lambda d: evaluate.coverage_and_novelty(evaluate.top_by_popularity(d.eval_rows(), d), d),
+    "top10_popularity": lambda d: evaluate.top_by_popularity(d.eval_rows(), d).select(*KEY, "item_id", "place"),
     "top10_knn": lambda d: evaluate.top_lists(ItemNeighbours(150).fit(d).score(d.eval_rows()), d).select(*KEY, "item_id", "place"),
     "nonfinite_count": lambda d: evaluate.check_finite(CategoryBridge().fit(d).score(d.eval_rows())),
     "item_cooccurrence": lambda d: cooccurrence(d.seen),

@@ -44,7 +44,7 @@ def test_ablation_is_the_weight_zero(spark, data):
 def test_models_run(spark, data, kind):
     rows = data.eval_rows()
     model = build(kind, {"epochs": 2}).fit(data)
-    found = evaluate(model.name, model.family, rows, data, model.score(rows), model.dense)
+    found = evaluate(model, rows, data)
     assert found.metrics["n"] == rows.count() and 0 < found.primary < 1
 
 

@@ -32,9 +32,14 @@ def tables():
     return connection
 
 
+@pytest.fixture(scope="module")
+def data(spark):
+    return registry._data(spark, SF)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_query(spark, tables, name):
-    df = registry.queries()[name](spark, SF)
+def test_query(spark, tables, data, name):
+    df = registry._OF_DATA[name](data) if name in registry._OF_DATA else registry.queries()[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(normal(r[c]) for c in columns) for r in df.collect()), key=repr)
     relation = tables.sql(SQL[name])
@@ -44,11 +49,10 @@ def test_query(spark, tables, name):
     assert got == want
 
 
-def test_dense_fusion_rows(spark):
+def test_dense_fusion_rows(spark, data):
     """A row for each evaluation row and candidate, the target among them, whether the retriever scores it or not."""
-    data = registry._data(spark, SF)
     pool = {r.vertical: r["count"] for r in data.candidates.groupBy("vertical").count().collect()}
     want = sum(pool[r.vertical] for r in data.eval_rows().select("vertical").collect())
     features = registry.queries()["fusion_features_full"](spark, SF).collect()
-    assert len(features) == want > registry.queries()["fusion_features"](spark, SF).count()
+    assert len(features) == want > registry._OF_DATA["fusion_features"](data).count()
     assert sum(r.item_id == r.target for r in features) == data.eval_rows().count() and any(r.knn_score == 0 for r in features)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lumora.functions.stats import bootstrap, sample_size
+from lumora.models import walk
 from lumora.models.catalog import build
 from lumora.models.sequence import attend, gradients
 from lumora.operators.compare import in_slice, interleave
@@ -138,3 +145,27 @@ def test_attention_gradients():
             assert (loss[0] - loss[1]) / 2e-6 == pytest.approx(g[k][at], rel=1e-3, abs=1e-7)
     h, _ = attend(p, items, verticals)
     assert h.shape == (2, 4)
+
+
+def test_without_the_text_operators(tmp_path):
+    """The rest imports and registers its queries where the llm folders and the pipeline, or only its operators, are gone."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "lumora", tmp_path / "lumora", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) > 50 and 'pipeline' not in e.queries()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120, check=False)
+    assert done.returncode == 0, done.stderr
+
+
+def test_both_ways_of_a_walk(spark, small, monkeypatch):
+    """The walk over a broadcast graph and the walk of joins give the same scores and ranks."""
+    rows, found = small.eval_rows(), []
+    for edges in (walk.BROADCAST_EDGES, 0):
+        monkeypatch.setattr(walk, "BROADCAST_EDGES", edges)
+        model = walk.GraphWalk().fit(small)
+        assert (model.graph is None) == (edges == 0)
+        scores = {(r.user_id, r.item_id): round(r.score, 9) for r in model.score(rows).collect()}
+        found.append((scores, {r.user_id: r["rank"] for r in model.rank(rows).collect()}, sorted(r[:] for r in model.top(rows).select("user_id", "item_id", "place").collect())))
+    assert found[0] == found[1] and found[0][0]
