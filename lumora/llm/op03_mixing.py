@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumora.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-RANGE_ROWS = 20_000  # rows in a range of a running sum, about
+RANGE_ROWS = 4_000  # rows in a range of a running sum, about; one with four times as many is split
 SMALL_ROWS = 100_000  # a table of so many narrow rows at most may be broadcast
 
 
@@ -23,14 +23,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
-def running(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """df with the sum of `value` over the rows of lower `order` (a long, unique) as `name`, in two levels."""
+def running(df: DataFrame, order: str, value: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with the sum of `value` over the rows of lower `order` (a long, unique among those equal in `by`) as `name`, in two levels."""
     df = df.withColumn("_block", F.expr(f"{order} div 1024"))
-    blocks = df.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(blocks, "_block").withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_block", "_base")
+    blocks = df.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*by, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(blocks, [*by, "_block"]).withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_block", "_base")
 
 
 def cyclic_weights(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
@@ -58,27 +58,34 @@ def targets(sources: DataFrame, budget: Column, max_repeats: int) -> DataFrame:
     return df.withColumn("target", F.coalesce(target, cap.cast("double"))).drop("left", "open", "level", "budget")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies) for each row of docs(doc_id, source, text).
 
     size counts the words of the text (null, empty or blank: 0); the budget is all words. A document is taken whole,
     `copies` times from 0 to max_repeats. Null sources are one source, the last. Rows without words are never taken.
-    Documents of one doc_id follow one another in the shuffle; rows equal in all of source, doc_id and time are taken or left
-    together. Null doc_ids count as the empty id. Other columns are ignored. An empty table gives an empty result.
+    Rows of one doc_id follow one another in the shuffle, in no defined order, each with copies of its own; so do those whose doc_id
+    is null, as the empty id. Other columns are ignored, but for those named in `keep`, which come out too. An empty
+    table gives an empty result.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = cut(sized.withColumn("shuffle", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
+    sized = docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = cut(sized.withColumns({"shuffle": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), "row": F.monotonically_increasing_id()}))
     sources = sized.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("rows"))
     sources = cyclic_weights(sources, weights)
     sources = cut(targets(sources, F.sum("total").over(Window.partitionBy()), max_repeats))
     budget = sources.agg(F.sum("total")).first()[0] or 0
     named = sized.join(_small(sources.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ranged = named.withColumn("range", F.expr(f"shiftright(cast(conv(substring(shuffle, 1, 8), 16, 10) as bigint) * (1 + rows div {RANGE_ROWS}), 32)"))
-    sums = ranged.groupBy("rank", "range").agg(F.sum("size").alias("sum"))
-    earlier = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut(sums.select("rank", "range", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base")))
-    so_far = F.sum("size").over(Window.partitionBy("rank", "range").orderBy("shuffle", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    queued = cut(ranged.join(_small(sums), ["rank", "range"]).withColumn("upto", F.col("base") + so_far).select("doc_id", "source", "size", "shuffle", "rank", "total", "target", "upto"))
+    crowded = ranged.groupBy("rank", "range").agg(F.count("*").alias("n")).where(F.col("n") > 4 * RANGE_ROWS)  # rows of repeated doc_ids
+    crowded = cut(crowded.select("rank", "range", F.expr(f"least(n div {RANGE_ROWS}, 1048575)").alias("parts")))
+    part = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))
+    ranged = ranged.join(_small(crowded), ["rank", "range"], "left").withColumn("range", F.shiftleft("range", 20) + part).drop("parts")
+    sums = ranged.groupBy("rank", "range").agg(F.sum("size").alias("sum")).withColumn("at", F.shiftright("range", 20))
+    whole = cut(running(sums.groupBy("rank", "at").agg(F.sum("sum").alias("sum")), "at", "sum", "base", ("rank",)))
+    earlier = Window.partitionBy("rank", "at").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.join(_small(whole.drop("sum")), ["rank", "at"]).select("rank", "range", (F.col("base") + F.coalesce(F.sum("sum").over(earlier), F.lit(0))).alias("base"))
+    so_far = F.sum("size").over(Window.partitionBy("rank", "range").orderBy("shuffle", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
+    sums = cut(sums)
+    queued = cut(ranged.join(_small(sums), ["rank", "range"]).withColumn("upto", F.col("base") + so_far).select("doc_id", "source", *keep, "size", "shuffle", "rank", "total", "target", "upto"))
 
     def finish(copy: Column) -> Column:
         return F.try_divide((F.col("upto") + copy * F.col("total")).cast("double"), F.col("target"))
@@ -108,4 +115,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
             taken_copies += F.when((F.lit(copy) < passes) & inside, 1).otherwise(0)
         taken_copies = F.when((F.col("size") > 0) & (F.col("target") > 0), taken_copies).otherwise(0)
     out = queued.withColumn("copies", taken_copies.cast("int"))
-    return out.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *keep)
