@@ -15,13 +15,14 @@ import numpy as np
 WIDTH = 64
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(softmax of the rows of x, in place, and the logs of the sums that divide it, the row's highest value included)."""
+    high = x.max(axis=1, keepdims=True)
+    x -= high
+    np.exp(x, out=x)
+    total = x.sum(axis=1, keepdims=True)
+    x /= total
+    return x, (np.log(total) + high)[:, 0]
 
 
 @dataclass
@@ -95,88 +96,117 @@ class Gru:
         return np.where(token < self.n_head, token // WIDTH, token - self.n_head + self.bins)
 
     def run(self, s: Streams, lo: int, hi: int, h: np.ndarray, keep: bool):
-        """The states of steps lo to hi after state h, and what backward needs."""
-        p, n = self.p, self.size
-        if keep:
-            inputs = p["E"][s.before[lo:hi]] @ p["W"] + p["b"]
-        else:
-            inputs = self.table[s.before[lo:hi]]
-        out = np.empty((hi - lo, *h.shape), h.dtype)
-        saved = []
-        for t in range(hi - lo):
-            prev = h * ~s.begins[lo + t][:, None]
-            g = prev @ p["U"]
-            gates = _sigmoid(inputs[t, :, : 2 * n] + g[:, : 2 * n])
-            r, z = gates[:, :n], gates[:, n:]
-            new = np.tanh(inputs[t, :, 2 * n :] + r * g[:, 2 * n :])
-            h = new + z * (prev - new)
-            out[t] = h
-            if keep:
-                saved.append((prev, g[:, 2 * n :], r, z, new))
-        return out, h, saved
+        """The states of steps lo to hi after state h, the last one, and what backward needs: previous states, their candidate parts,
+        gates r and z, candidates, and 0 where a text begins."""
+        p, n, steps, kind = self.p, self.size, hi - lo, h.dtype
+        half = np.repeat(np.array([0.5, 1], kind), [2 * n, n])  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        inputs = self.table[s.before[lo:hi]] * half
+        u, alive = p["U"] * half, (~s.begins[lo:hi, :, None]).astype(kind)
+        out = np.empty((steps, *h.shape), kind)
+        before, part, gates, new = (np.empty((steps if keep else 1, h.shape[0], w), kind) for w in (n, n, 2 * n, n))
+        g = np.empty((h.shape[0], 3 * n), kind)
+        for t in range(steps):
+            i = t if keep else 0
+            np.multiply(h, alive[t], out=before[i])
+            np.matmul(before[i], u, out=g)
+            np.add(inputs[t, :, : 2 * n], g[:, : 2 * n], out=gates[i])
+            np.tanh(gates[i], out=gates[i])
+            gates[i] *= 0.5
+            gates[i] += 0.5
+            part[i] = g[:, 2 * n :]
+            np.multiply(gates[i, :, :n], part[i], out=new[i])
+            new[i] += inputs[t, :, 2 * n :]
+            np.tanh(new[i], out=new[i])
+            h = out[t]
+            np.subtract(before[i], new[i], out=h)
+            h *= gates[i, :, n:]
+            h += new[i]
+        return out, h, (before, part, gates[:, :, :n], gates[:, :, n:], new, alive)
+
+    def _by_class(self, kind: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """(the head words among the tokens in order of class, each class with its bounds among them)."""
+        head = np.flatnonzero(token < self.n_head)
+        order = head[np.argsort(kind[head], kind="stable")]
+        cuts = np.flatnonzero(np.diff(kind[order], prepend=-1, append=-1)) if len(order) else []
+        return order, [(int(kind[order[a]]), int(a), int(b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _inside(self, x: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
+        """The logits of the words of their class at states x, in order of class."""
+        out = np.empty((len(x), WIDTH), x.dtype)
+        for k, a, b in classes:
+            np.matmul(x[a:b], self.p["O"][k], out=out[a:b])
+            out[a:b] += self.p["o"][k]
+        return out
 
     def log_probs(self, states: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the tokens at states [n, size]."""
-        p = self.p
         kind = self.class_of(token)
-        logits = states @ p["C"] + p["c"]
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = states @ self.p["C"] + self.p["c"]
         out = logits[np.arange(len(token)), kind]
-        out -= np.log(np.exp(logits, out=logits).sum(axis=1))
-        head = np.flatnonzero(token < self.n_head)
-        order = head[np.argsort(kind[head], kind="stable")]
-        for part in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1) if len(order) else []:
-            k = kind[part[0]]
-            inside = _log_softmax(states[part] @ p["O"][k] + p["o"][k])
-            out[part] += inside[np.arange(len(part)), token[part] % WIDTH]
+        out -= _shares(logits)[1]
+        order, classes = self._by_class(kind, token)
+        if classes:
+            logits = self._inside(states[order], classes)
+            own = logits[np.arange(len(order)), token[order] % WIDTH]
+            out[order] += own - _shares(logits)[1]
         return out
 
     def loss_and_gradients(self, s: Streams, lo: int, hi: int, h: np.ndarray):
         """(nats, tokens, state after, gradients of the mean loss) of a window."""
         p, n = self.p, self.size
-        states, last, saved = self.run(s, lo, hi, h, keep=True)
+        self.table = p["E"] @ p["W"] + p["b"]
+        states, last, (before, part, r, z, new, alive) = self.run(s, lo, hi, h, keep=True)
         flat, token = states.reshape(-1, n), s.token[lo:hi].reshape(-1)
         live = np.flatnonzero(s.text[lo:hi].reshape(-1) >= 0)
         x, token = flat[live], token[live]
-        kind, scale = self.class_of(token), 1.0 / max(1, len(live))
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-        logp = _log_softmax(x @ p["C"] + p["c"])
-        nats = -logp[np.arange(len(x)), kind].sum()
-        d = np.exp(logp)
-        d[np.arange(len(x)), kind] -= 1
+        kind, scale, every = self.class_of(token), np.float32(1.0 / max(1, len(live))), np.arange(len(live))
+        grads = {k: np.zeros_like(p[k]) for k in ("E", "O", "o")}
+        logits = x @ p["C"] + p["c"]
+        own = logits[every, kind]
+        d, total = _shares(logits)
+        nats = float((total - own).sum(dtype=np.float64))
+        d[every, kind] -= 1
         d *= scale
         grads["C"], grads["c"] = x.T @ d, d.sum(axis=0)
         dx = d @ p["C"].T
-        for k in np.unique(kind[token < self.n_head]):
-            part = np.flatnonzero(kind == k)
-            inside = _log_softmax(x[part] @ p["O"][k] + p["o"][k])
-            at = token[part] % WIDTH
-            nats -= inside[np.arange(len(part)), at].sum()
-            d = np.exp(inside)
-            d[np.arange(len(part)), at] -= 1
+        order, classes = self._by_class(kind, token)
+        if classes:
+            words, at, every = x[order], token[order] % WIDTH, np.arange(len(order))
+            logits = self._inside(words, classes)
+            own = logits[every, at]
+            d, total = _shares(logits)
+            nats += float((total - own).sum(dtype=np.float64))
+            d[every, at] -= 1
             d *= scale
-            grads["O"][k], grads["o"][k] = x[part].T @ d, d.sum(axis=0)
-            dx[part] += d @ p["O"][k].T
+            back = np.empty_like(words)
+            for k, a, b in classes:
+                grads["O"][k], grads["o"][k] = words[a:b].T @ d[a:b], d[a:b].sum(axis=0)
+                np.matmul(d[a:b], p["O"][k].T, out=back[a:b])
+            dx[order] += back
         dstates = np.zeros_like(flat)
         dstates[live] = dx
         dstates = dstates.reshape(states.shape)
-        dh = np.zeros_like(h)
-        dinputs = np.empty((hi - lo, h.shape[0], 3 * n), h.dtype)
+        to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), part * r * (1 - r)
+        dh, u = np.zeros_like(h), np.ascontiguousarray(p["U"].T)
+        dinputs, dg = (np.empty((hi - lo, h.shape[0], 3 * n), h.dtype) for _ in range(2))
         for t in range(hi - lo - 1, -1, -1):
-            prev, g, r, z, new = saved[t]
-            dh = dh + dstates[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (prev - new) * z * (1 - z)
-            dr = dnew * g * r * (1 - r)
-            dinputs[t] = np.concatenate([dr, dz, dnew], axis=1)
-            dg = np.concatenate([dr, dz, dnew * r], axis=1)
-            grads["U"] += prev.T @ dg
-            dh = (dh * z + dg @ p["U"].T) * ~s.begins[lo + t][:, None]
-        before, dflat = s.before[lo:hi].reshape(-1), dinputs.reshape(-1, 3 * n)
-        grads["W"], grads["b"] = p["E"][before].T @ dflat, dflat.sum(axis=0)
-        order = np.argsort(before, kind="stable")
-        own = np.flatnonzero(np.diff(before[order], prepend=-1))
-        grads["E"][before[order][own]] = np.add.reduceat((dflat @ p["W"].T)[order], own, axis=0)
+            dh += dstates[t]
+            dnew = dinputs[t, :, 2 * n :]
+            np.multiply(dh, to_new[t], out=dnew)
+            np.multiply(dh, to_z[t], out=dinputs[t, :, n : 2 * n])
+            np.multiply(dnew, to_r[t], out=dinputs[t, :, :n])
+            dg[t, :, : 2 * n] = dinputs[t, :, : 2 * n]
+            np.multiply(dnew, r[t], out=dg[t, :, 2 * n :])
+            dh *= z[t]
+            dh += dg[t] @ u
+            dh *= alive[t]
+        grads["U"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
+        tokens, dflat = s.before[lo:hi].reshape(-1), dinputs.reshape(-1, 3 * n)
+        order = np.argsort(tokens, kind="stable")
+        begin = np.flatnonzero(np.diff(tokens[order], prepend=-1))
+        by_token = np.add.reduceat(dflat[order], begin, axis=0)
+        known = tokens[order[begin]]
+        grads["W"], grads["b"], grads["E"][known] = p["E"][known].T @ by_token, by_token.sum(axis=0), by_token @ p["W"].T
         return nats, len(live), last, grads
 
     def train(self, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, width: int = 32, window: int = 24, rate: float = 0.01, span: tuple[float, float] = (0.0, 1.0), follows: np.ndarray | None = None) -> list[float]:
@@ -192,15 +222,26 @@ class Gru:
                 nats, tokens, step = nats + loss, tokens + n, step + 1
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
                 pace = rate * (1 - 0.9 * (span[0] + (span[1] - span[0]) * step / total))
+                shrink, fix, root = np.float32(0.1 * min(1.0, 1.0 / (norm + 1e-12))), np.float32(pace / (1 - 0.9**step)), np.float32(1 / np.sqrt(1 - 0.99**step))
                 for k, g in grads.items():
-                    g = g * np.float32(min(1.0, 1.0 / (norm + 1e-12)))
-                    first[k] = 0.9 * first.get(k, 0) + np.float32(0.1) * g
-                    second[k] = 0.99 * second.get(k, 0) + np.float32(0.01) * g * g
-                    self.p[k] -= np.float32(pace) * (first[k] / np.float32(1 - 0.9**step)) / (np.sqrt(second[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+                    if step == 1:
+                        first[k], second[k] = np.zeros_like(g), np.zeros_like(g)
+                    g *= shrink
+                    first[k] *= np.float32(0.9)
+                    first[k] += g
+                    np.multiply(g, g, out=g)  # a hundredth of the gradient's square
+                    second[k] *= np.float32(0.99)
+                    second[k] += g
+                    np.sqrt(second[k], out=g)
+                    g *= root
+                    g += np.float32(1e-8)
+                    np.divide(first[k], g, out=g)
+                    g *= fix
+                    self.p[k] -= g
             history.append(nats / max(1, tokens))
         return history
 
-    def score(self, ids: np.ndarray, bounds: np.ndarray, width: int = 256, window: int = 64) -> np.ndarray:
+    def score(self, ids: np.ndarray, bounds: np.ndarray, width: int = 384, window: int = 48) -> np.ndarray:
         """The natural log probability of each text, in double precision sums."""
         self.table = self.p["E"] @ self.p["W"] + self.p["b"]
         s = streams(ids, bounds, width, self.end)

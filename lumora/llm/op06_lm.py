@@ -237,10 +237,22 @@ def train(training: DataFrame, model: Model) -> None:
         done = upto
 
 
+def most_frequent(counts: DataFrame, k: int) -> list:
+    """The k rows of counts(word, kind, n) with the highest n, ties by word; a histogram says which ones can be among them."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    taken, least = 0, 0
+    for r in sizes:
+        taken, least = taken + r.words, r.level
+        if taken >= k:
+            break
+    return counts.where(level >= least).orderBy(F.desc("n"), "word").limit(k).collect()
+
+
 def fit(training: DataFrame, counts: DataFrame, seed: int = 0) -> Model:
     """A model of training(doc_id, text) and its counts. Without training texts the recurrent part is left as it was drawn."""
     texts = training.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(TABLE_WORDS).collect()
+    top = most_frequent(counts, TABLE_WORDS)
     by_kind = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     n, v = (np.array([getattr(by_kind[j], x) if j in by_kind else 0 for j in range(TAIL_CLASSES)], np.int64) for x in "nv")
     total, distinct = int(n.sum()) + texts, int(v.sum()) + (texts > 0)
