@@ -2,7 +2,7 @@
 
 1. Equal vectors form one class. Unit vectors are projected on M orthogonal random directions, scaled so that the difference of two
    projections has the deviation of the vectors' distance.
-2. The sorted projections are cut at quantiles, the first into slabs and the second, inside each slab, into tiles of about TILE classes.
+2. The sorted projections are cut at quantiles, the first into slabs and the second, inside each slab, into tiles of about TILE_VALUES components.
    Two tiles meet only where the first projection's windows of REACH deviations overlap, and where enough projections of
    the tiles can collide at all.
 3. Where tiles meet, each vector's window of half width WINDOW in every projection is held against the other's, and collisions are counted
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from lumora.llm.graph import connected_components, lowest_linked
 from lumora.session import cut, ship
@@ -31,7 +32,7 @@ WINDOW = 1.0
 STEP = WINDOW / 15
 REACH = 4.0
 MISS = 1e-4
-TILE = 2048
+TILE_VALUES = 1 << 19  # components of a tile's vectors, about
 _ROWS = 256  # rows of a tile counted at once
 
 
@@ -63,25 +64,25 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose vector has a direction, with the vector's bytes (doubles, no negative zero)."""
+def _usable(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """The rows whose vector has a direction, with the vector's bytes (of this kind, no negative zero)."""
     for batch in batches:
         ids, raw = [], []
         for vec_id, vector in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
             if vec_id is None or not vector.is_valid or not len(vector.values) or vector.values.null_count:
                 continue
-            v = vector.values.to_numpy().astype("<f8") + 0.0
+            v = vector.values.to_numpy().astype(kind) + np.zeros(1, kind)
             if np.isfinite(v).all() and v.any():
                 ids.append(vec_id)
                 raw.append(v.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "vector"])
 
 
-def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _project(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         first, second, dims = [], [], []
         for raw in batch.column("vector").to_pylist():
-            v = np.frombuffer(raw, "<f8")
+            v = np.frombuffer(raw, kind).astype("<f8")
             v = v / np.linalg.norm(v / np.abs(v).max()) / np.abs(v).max()
             p = v @ directions(len(v))
             first.append(p[0])
@@ -90,9 +91,9 @@ def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int32()), pa.array(first, pa.float64()), pa.array(second, pa.float64())], [*batch.schema.names, "dim", "p1", "p2"])
 
 
-def _tile(key: tuple, rows: pa.Table) -> pa.Table:
-    vectors = np.frombuffer(b"".join(rows.column("vector").to_pylist()), "<f8").reshape(rows.num_rows, -1)
-    units = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+def _tile(key: tuple, rows: pa.Table, kind: str) -> pa.Table:
+    vectors = np.frombuffer(b"".join(rows.column("vector").to_pylist()), kind).reshape(rows.num_rows, -1)
+    units = vectors.astype("<f8") / np.abs(vectors).max(axis=1, keepdims=True)
     p = (units / np.linalg.norm(units, axis=1, keepdims=True)) @ directions(vectors.shape[1])
     blobs = [rows.column("node").to_numpy(), rows.column("copies").to_numpy(), vectors]
     return pa.table({
@@ -101,14 +102,14 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     })
 
 
-def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], similarity: float, stored: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             dim, same = row["dim"], row["a"] == row["b"]
-            sides = [[np.frombuffer(row[f"{x}_{end}"], kind) for x, kind in (("nodes", "<i8"), ("copies", "<i8"), ("vectors", "<f8"))] for end in ("a", "b")]
+            sides = [[np.frombuffer(row[f"{x}_{end}"], kind) for x, kind in (("nodes", "<i8"), ("copies", "<i8"), ("vectors", stored))] for end in ("a", "b")]
             units = []
             for side in sides:
-                v = side[2].reshape(-1, dim)
+                v = side[2].reshape(-1, dim).astype("<f8")
                 v = v / np.abs(v).max(axis=1, keepdims=True)
                 units.append(v / np.linalg.norm(v, axis=1, keepdims=True))
             m = min(M, dim)
@@ -156,10 +157,11 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.9) -> DataFrame:
     spark = vectors.sparkSession
     ship(spark)
     vectors = vectors.select("vec_id", "embedding")
-    usable = cut(vectors.mapInArrow(_usable, "vec_id long, vector binary").withColumn("node", F.xxhash64("vector")))
+    kind = "<f4" if vectors.schema["embedding"].dataType == ArrayType(FloatType()) else "<f8"
+    usable = cut(vectors.mapInArrow(partial(_usable, kind=kind), "vec_id long, vector binary").withColumn("node", F.xxhash64("vector")))
     classes = usable.groupBy("node").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    placed = cut(classes.mapInArrow(_project, "node long, vec_id long, copies long, vector binary, dim int, p1 double, p2 double"))
-    cuts = placed.groupBy("dim").agg(F.count("*").alias("n")).withColumn("slabs", F.ceil(F.sqrt(F.col("n") / TILE)).cast("int"))
+    placed = cut(classes.mapInArrow(partial(_project, kind=kind), "node long, vec_id long, copies long, vector binary, dim int, p1 double, p2 double"))
+    cuts = placed.groupBy("dim").agg(F.count("*").alias("n")).withColumn("slabs", F.ceil(F.sqrt(F.col("n") * F.col("dim") / TILE_VALUES)).cast("int"))
 
     def sliced(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
         """Which of `slabs` equal shares of its group a row's value is in, ties by node."""
@@ -171,7 +173,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.9) -> DataFrame:
     slabs = placed.join(F.broadcast(bounds), "dim").withColumn("slab", F.when(F.col("slabs") <= 1, 0).otherwise(slab)).drop("edges")
     tiles = sliced(slabs, ["dim", "slab"], "p2", "part")
     tiles = tiles.withColumn("tile", F.col("dim").cast("long") * (1 << 40) + F.col("slab").cast("long") * (1 << 20) + F.col("part"))
-    tiles = cut(tiles.select("tile", "node", "copies", "vector").groupBy("tile").applyInArrow(_tile, "tile long, dim int, low double, high double, nodes binary, copies binary, vectors binary"))
+    tiles = cut(tiles.select("tile", "node", "copies", "vector").groupBy("tile").applyInArrow(lambda key, rows: _tile(key, rows, kind), "tile long, dim int, low double, high double, nodes binary, copies binary, vectors binary"))
 
     reach = REACH * sqrt(2 - 2 * similarity)
     width = max(reach, 1e-3)
@@ -183,7 +185,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.9) -> DataFrame:
         side = tiles.select(F.col("tile").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("nodes", "copies", "vectors")))
         pairs = pairs.join(side, end)
     with arrow_rows(spark, 2):
-        links = cut(pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(partial(_meet, similarity=similarity), "a long, b long, n long"))
+        links = cut(pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(partial(_meet, similarity=similarity, stored=kind), "a long, b long, n long"))
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = connected_components(links.where("a <> b").select("a", "b"))
     named = placed.select("node", "vec_id", "copies").join(roots, "node", "left").join(counts, "node", "left")
