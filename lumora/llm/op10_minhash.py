@@ -179,7 +179,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     classes = cut(known.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     sketches = classes.select(F.col("class").alias("node"), "sketch")
 
-    by_key = Window.partitionBy("key")
     values = classes.select("class", "n_shingles", "sketch").mapInArrow(_values, "key long, node long, n long")
     common = values.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")
     retained, needed = F.least("n", F.lit(k)), F.least(F.ceil(F.col("n") * num / den), F.lit(int(least_overlap(similarity, k)[k])))
@@ -187,11 +186,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     shared = values.join(common, "key").withColumn("rank", F.row_number().over(of_node.orderBy("classes", "key")))
     shared = shared.withColumn("alone", retained - F.count("*").over(of_node))
     lists = shared.where(F.col("rank") + F.col("alone") <= retained - needed + 1).select("key", "node", "n")
-    lists = cut(lists.withColumn("members", F.count("*").over(by_key)).where("members > 1"))
+    lists = cut(lists)
+    lists = cut(lists.join(lists.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key"))
     central = lists.groupBy("node").agg(F.sum(F.ln("members")).alias("weight"))
-    pivot = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n")).over(by_key)
     near_size = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
-    stars = lists.join(central, "node").withColumn("pivot", pivot)
+    weighed = cut(lists.join(central, "node").select("key", "node", "n", "weight"))
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n")).alias("pivot"))
+    stars = weighed.join(pivots, "key")
     stars = stars.where((F.col("node") != -F.col("pivot.minus")) & near_size(F.col("n"), F.col("pivot.n")))
     stars = stars.select(F.least("node", -F.col("pivot.minus")).alias("a"), F.greatest("node", -F.col("pivot.minus")).alias("b")).distinct()
 
@@ -211,8 +212,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     roots = connected_components(first)
 
     named = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = named.withColumn("low", F.min("root").over(by_key)).withColumn("high", F.max("root").over(by_key)).where("low <> high")
-    mixed = cut(mixed.select("key", "node", "root"))
+    named = cut(named)
+    open_lists = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    mixed = cut(named.join(open_lists, "key"))
     if not mixed.isEmpty():
         clusters = connected_components(mixed.select(F.col("node").alias("a"), (-F.col("key") - 1).alias("b"))).where("node >= 0")
         members = mixed.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
