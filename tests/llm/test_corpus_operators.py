@@ -9,9 +9,11 @@ from math import log10
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumora.llm import op02_sentencepiece as pieces
+from lumora.llm import op03_mixing as mixing
 from lumora.llm import op06_lm as lm
 from lumora.llm import op09_embedding_dedup as vectors
 from lumora.llm import queries
@@ -190,6 +192,18 @@ def test_mixing_of_odd_rows(spark):
     assert {r.taken for r in mix_sources(table.where("size(split(text, 'w')) = 0 or text is null or trim(text) = ''")).collect()} == {0}
 
 
+def test_mixing_of_repeated_ids(spark, monkeypatch):
+    """Half of the rows have no doc_id, many share one: their ranges are split, each row has copies of its own, and targets are met."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 60)
+    rows = [(None if i % 2 else i // 40, "w " * (1 + i % 5), f"s{i % 3}", i) for i in range(4000)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, row_no long").repartition(7), keep=("row_no",)).collect()
+    assert sorted(r.row_no for r in got) == list(range(4000)) and {(r.row_no, r.doc_id, r.size) for r in got} == {(n, i, len(t) // 2) for i, t, _, n in rows}
+    taken, target = Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 6 for s in target) and sum(taken.values()) <= sum(r.size for r in got)
+
+
 def test_mix_comes_near_its_targets(spark):
     rows = [(i, "w " * (1 + i % 7), f"s{i * i % 5 % 3}") for i in range(3000)] + [(5000 + i, "v", None) for i in range(40)]
     got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
@@ -265,7 +279,8 @@ def test_lm_learns_from_all_texts(spark, monkeypatch):
     assert scores[1] > scores[2] + 1
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE_VALUES", 16 * 64)  # so that tiles meet
     rng = np.random.default_rng(8)
     base = rng.standard_normal((40, 16))
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([b + rng.standard_normal((12, 16)) * s for b, s in zip(base, np.linspace(0.05, 0.6, 40), strict=True)]))]
@@ -284,6 +299,28 @@ def test_vectors(spark):
     want.update([(i, 0, i, True) for i in (2000, 2001, 2002, 2003, 2004, 2007)] + [(None, 0, None, True)])
     assert Counter(tuple(r) for r in vectors.near_duplicates(table).collect()) == want
     assert vectors.near_duplicates(table.limit(0)).count() == 0
+    single = table.where("vec_id < 1100").withColumn("embedding", F.col("embedding").cast("array<float>"))
+    near = {r.vec_id: r.n_links for r in vectors.near_duplicates(single).collect()}
+    exact = {i: np.array(v, np.float32).astype(float) for i, v in rows if i is not None and i < 1100}
+    units = {i: v / np.linalg.norm(v) for i, v in exact.items()}
+    assert near == {i: sum(u @ v >= 0.9 for j, v in units.items() if j != i) for i, u in units.items()}
+
+
+def test_stages_of_odd_tables(spark):
+    """Repeated and missing doc_ids are decided row by row, clashing columns have no effect, no label leaves the texts with letters."""
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, long, None, "a"), (2, long, None, "a"), (2, "quite another text of its own kind", None, "b"), (3, long, None, "b"), (3, long, None, "b"), (None, long, None, "a"), (None, "12", None, None), (4, "", None, "b")]
+    table = spark.createDataFrame([(*r, 0, 5, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _row long, lang_pred string")
+    one = corpus_pipeline.keep_identified(spark, table, "")
+    assert Counter((r.doc_id, r.lang) for r in one.collect()) == Counter((r[0], None) for r in rows if r[1] not in ("", "12"))
+    two = corpus_pipeline.keep_distinct(spark, one.withColumn("copies", F.lit(1)), "")
+    assert Counter((r.doc_id, r.text) for r in two.collect()) == Counter([(1, long), (2, rows[2][1])])
+    three = corpus_pipeline.mix(spark, one, "")
+    assert sum(len(r.text.split()) for r in three.collect()) <= sum(len(r[1].split()) for r in rows)
+    known = table.withColumn("lang", F.when(F.col("doc_id") == 1, "xx"))
+    assert {r.lang for r in corpus_pipeline.keep_identified(spark, known, "").collect()} == {"xx"}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table.limit(0), "").count() == 0
 
 
 def test_stages(spark, tmp_path):
@@ -295,7 +332,7 @@ def test_stages(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{i}")
         found.append(docs.collect())
     first, second, third, last = found
-    assert {r.doc_id for r in first} == {None, *range(200)}
+    assert {r.doc_id for r in first} == {None, *range(200)} and all(r.lang for r in first)
     _, component = plain_near([(r.doc_id, r.text) for r in first if r.doc_id is not None], 5, 80, 100)
     assert {r.doc_id for r in second} == {None, *component.values()}
     copies = Counter(r.doc_id for r in third)
