@@ -13,30 +13,45 @@ from lumora.llm.op01_langid import UNKNOWN, fit, identify
 from lumora.llm.op02_sentencepiece import encode_texts
 from lumora.llm.op03_mixing import mix_sources
 from lumora.llm.op10_minhash import near_duplicates
-from lumora.session import checkpoint_dir
+from lumora.session import cut, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """The columns of documents and a number of each row's own, as a table, so that decisions are taken and joined by row."""
+    return cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+
+
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts in which no language is found (null, empty, without letters) go."""
+    """Language ID: texts in which no language is found (null, empty, without letters) go; the others' null lang becomes the one found.
+
+    Where no document has a lang to learn from, those with a letter stay, their lang null.
+    """
     model = fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
-    found = identify(docs.select(*COLUMNS), model)
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup on five-word shingles at a similarity of 0.8: the smallest doc_id of each group stays."""
-    groups = near_duplicates(docs, shingle=5, num=80, den=100)
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """MinHash near-dedup on five-word shingles at a similarity of 0.8: the row of the smallest doc_id (nulls last) of each group stays."""
+    rows = with_rows(docs)
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle=5, num=80, den=100)
+    groups = cut(groups.select(F.col("doc_id").alias("_row"), "component_id"))
+    shared = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    members = rows.select("doc_id", "_row").join(groups.join(shared, "component_id"), "_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("first"))
+    gone = cut(members.join(first, "component_id").where("_row <> first").select("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to the weights 5, 2, 1, repeating: a row for each time that the mix takes a document, up to 3."""
-    copies = mix_sources(docs, weights=(5, 2, 1), max_repeats=3).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).select(*(docs[c] for c in COLUMNS), "copies")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    rows = with_rows(docs)
+    copies = mix_sources(rows, weights=(5, 2, 1), max_repeats=3, keep=("_row",)).where("copies > 0").select("_row", "copies")
+    return rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +68,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each one's result written to the shared checkpoint folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
+    folder = scratch(spark, "pipeline-")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
