@@ -1,4 +1,4 @@
-"""A self-attentive sequence model, reduced to one block and one head, trained in numpy on a bounded sample of histories."""
+"""A self-attentive sequence model, reduced to one block and one head, trained in rounds over all histories."""
 
 from __future__ import annotations
 
@@ -6,16 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.models.base import Recommender
+from lumora.models.rounds import averaged, drawn, shares
 from lumora.operators.dataset import Dataset
-from lumora.operators.evaluate import KEY
+from lumora.operators.evaluate import KEY, expand
 from lumora.operators.split import last_n
-from lumora.session import ship
+from lumora.session import cut, ship
 
-FIT_USERS = 20_000  # histories that the model is fitted on, chosen by hash
+REPLICA_EVENTS = 1 << 17  # events of a replica's histories, about
+ROUNDS = 4
 
 
 def attend(p: dict[str, np.ndarray], items: np.ndarray, verticals: np.ndarray):
@@ -52,14 +55,30 @@ def gradients(p: dict[str, np.ndarray], items: np.ndarray, verticals: np.ndarray
     return loss, g
 
 
+def windows(starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """[n, length]: one more than the positions before each end, as far back as its start, left-padded with 0."""
+    at = ends[:, None] - np.arange(length, 0, -1)
+    return np.where(at >= starts[:, None], at + 1, 0)
+
+
+def _packed(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p)])
+
+
 class Attention(Recommender):
     """score = representation of the history . item embedding. stale leaves out each user's newest train event, as a representation
-    does that was made before it; the session variant encodes all of them."""
+    does that was made before it; the session variant encodes all of them, and after them the items of a column session_prefix, where the
+    rows have one. Users without a history score 0, items without train events -1e6.
+
+    Each round deals the users to replicas by hash; a replica gets its histories and their items' embeddings, draws its negatives from
+    those items and trains; embeddings are averaged by their events, the other weights by the replicas' examples.
+    """
 
     dense = True
 
-    def __init__(self, d: int = 32, max_len: int = 50, lr: float = 0.01, epochs: int = 8, batch: int = 256, use_vertical: bool = True, stale: bool = True, seed: int = 0):
+    def __init__(self, d: int = 32, max_len: int = 50, lr: float = 0.01, epochs: int = 8, batch: int = 256, use_vertical: bool = True, stale: bool = True, seed: int = 0, replica_events: int = REPLICA_EVENTS):
         self.d, self.length, self.lr, self.epochs, self.batch, self.vertical, self.stale, self.seed = d, max_len, lr, epochs, batch, use_vertical, stale, seed
+        self.replica_events = replica_events
 
     @property
     def family(self) -> str:
@@ -69,61 +88,100 @@ class Attention(Recommender):
     def name(self) -> str:
         return f"{self.family}({'+vert' if self.vertical else 'no-vert'})"
 
-    def _arrays(self, histories: list, length: int) -> tuple[np.ndarray, np.ndarray]:
-        items, verticals = np.zeros((len(histories), length), np.int64), np.zeros((len(histories), length), np.int64)
-        for row, history in enumerate(histories):
-            part = history[-length:]
-            if part:
-                items[row, -len(part) :] = [self.index.get(e["item_id"], 0) for e in part]
-                verticals[row, -len(part) :] = [self.verticals.get(e["vertical"], 0) if self.vertical else 0 for e in part]
-        return items, verticals
-
     def fit(self, data: Dataset) -> Attention:
-        self.data = data
-        known = [(r.item_id, r.vertical) for r in data.seen.join(data.items, "item_id").select("item_id", "vertical").distinct().orderBy("item_id").toLocalIterator()]
-        self.index = {item: i + 1 for i, (item, _) in enumerate(known)}
-        self.verticals = {v: i + 1 for i, v in enumerate(sorted({v for _, v in known}))}
-        sample = last_n(data.train, self.length + 1).orderBy(F.xxhash64("user_id", F.lit(self.seed)), "user_id").limit(FIT_USERS).collect()
-        prefixes = [(r.history[:i], r.history[i]["item_id"]) for r in sample for i in range(1, len(r.history))]
+        self.data, kind = data, dict(data.seen.dtypes)["item_id"]
+        ship(data.seen.sparkSession)
+        self.verticals = sorted(r.vertical for r in data.train.select("vertical").distinct().collect() if r.vertical is not None) if self.vertical else []
+        histories = cut(last_n(data.train, self.length + 1))
+        items = cut(data.seen.select("item_id").distinct().select("item_id", drawn("item_id", self.d, 0.1, self.seed).alias("v")))
+        n_replicas = -(-(histories.agg(F.sum(F.size("history"))).first()[0] or 0) // self.replica_events) or 1
         rng = np.random.default_rng(self.seed)
-        draw = lambda *s: rng.normal(0, 0.1, s)
-        self.p = p = {"E": draw(len(known) + 1, self.d), "P": draw(self.length, self.d), "V": draw(len(self.verticals) + 1, self.d), **{w: draw(self.d, self.d) for w in ("Wq", "Wk", "Wv")}}
-        p["E"][0] = 0
-        m, s, step = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0
-        for _ in range(self.epochs if prefixes else 0):
-            order = rng.permutation(len(prefixes))
-            for lo in range(0, len(order), self.batch):
-                part = [prefixes[i] for i in order[lo : lo + self.batch]]
-                items, verticals = self._arrays([h for h, _ in part], self.length)
-                right = np.array([self.index[t] for _, t in part])
-                _, g = gradients(p, items, verticals, right, rng.integers(1, len(known) + 1, len(part)))
-                step += 1
-                for k in p:
-                    m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.98 * s[k] + 0.02 * g[k] ** 2
-                    p[k] -= self.lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.98**step)) + 1e-8)
+        shapes = {"P": (self.length, self.d), "V": (len(self.verticals) + 1, self.d), **{w: (self.d, self.d) for w in ("Wq", "Wk", "Wv")}}
+        self.p = {k: rng.normal(0, 0.1, shape) for k, shape in shapes.items()}
+        for turn, epochs in enumerate(shares(self.epochs, ROUNDS)):
+            replica = F.pmod(F.xxhash64("user_id", F.lit(self.seed + turn)), F.lit(n_replicas)).alias("replica")
+            asked = histories.select(replica, F.xxhash64("user_id").alias("place"), "history", F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("array<double>").alias("v"))
+            needed = asked.select("replica", F.explode("history.item_id").alias("item_id")).distinct().join(items, "item_id")
+            rows = asked.unionByName(needed.select("replica", F.lit(None).cast("long").alias("place"), F.lit(None).cast(asked.schema["history"].dataType).alias("history"), "item_id", "v"))
+            found = cut(rows.groupBy("replica").applyInArrow(self._trainer(turn, epochs), f"item_id {kind}, weight double, v array<double>"))
+            items = cut(averaged(found.where("item_id is not null"), "item_id", self.d))
+            weights = found.where("item_id is null").select("weight", F.posexplode("v").alias("at", "x")).groupBy("at")
+            mean = {r["at"]: r["x"] for r in weights.agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x")).collect()}  # a row for each weight of the model
+            flat, at = np.array([mean[k] for k in range(len(mean))]), 0
+            for k in sorted(self.p) if len(flat) else ():
+                self.p[k], at = flat[at : at + self.p[k].size].reshape(shapes[k]), at + self.p[k].size
+        self.embeddings = items
         return self
 
-    def score(self, rows: DataFrame) -> DataFrame:
-        spark = rows.sparkSession
-        ship(spark)
-        pools = self.data.candidates.groupBy("vertical").agg(F.sort_array(F.collect_list("item_id")).alias("pool"))  # capped by max_candidates and the targets
-        asked = rows.select(*KEY).join(last_n(self.data.train, self.length + 1), "user_id", "left").join(pools, "vertical")
-        shared = spark.sparkContext.broadcast(self)
-        kinds = dict(asked.dtypes)
-        schema = ", ".join([*(f"{k} {kinds[k]}" for k in KEY), f"item_id {dict(self.data.candidates.dtypes)['item_id']}", "score double"])
+    def _trainer(self, turn: int, epochs: int):
+        length, lr, size, seed, verticals = self.length, self.lr, self.batch, self.seed, pa.array(self.verticals, pa.string())
+        dense = self.p
+
+        def train(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            items, asked = table.filter(pc.is_valid(table["item_id"])).sort_by("item_id"), table.filter(pc.is_valid(table["place"])).sort_by("place")
+            events = pc.list_flatten(asked["history"]).combine_chunks()
+            known = np.append(0, pc.index_in(events.field("item_id"), value_set=items["item_id"].combine_chunks()).to_numpy() + 1)
+            kinds = np.append(0, pc.index_in(events.field("vertical"), value_set=verticals).fill_null(-1).to_numpy() + 1)
+            sizes = pc.list_value_length(asked["history"]).to_numpy()
+            starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ends = np.flatnonzero(np.arange(len(starts)) > starts)  # every event but a history's first is once the one to find
+            p = {**{k: w.copy() for k, w in dense.items()}, "E": np.vstack([np.zeros(dense["P"].shape[1]), np.stack(items["v"].to_numpy())])}
+            rng = np.random.default_rng([seed & 0xFFFFFFFF, turn, table["replica"][0].as_py()])
+            m, s, step = dict.fromkeys(p, 0.0), dict.fromkeys(p, 0.0), 0
+            for _ in range(epochs):
+                order = rng.permutation(ends)
+                for lo in range(0, len(order), size):
+                    end = order[lo : lo + size]
+                    at = windows(starts[end], end, length)
+                    _, g = gradients(p, known[at], kinds[at], known[end + 1], rng.integers(1, len(items) + 1, len(end)))
+                    step += 1
+                    for k in p:
+                        m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.98 * s[k] + 0.02 * g[k] ** 2
+                        p[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.98**step)) + 1e-8)
+            used = np.bincount(known, minlength=len(items) + 1)[1:].astype(float)
+            embedded = p.pop("E")[1:]
+            ids = pa.concat_arrays([items["item_id"].combine_chunks(), pa.nulls(1, items["item_id"].type)])
+            return pa.table({"item_id": ids, "weight": np.append(used, len(ends) or 1e-9), "v": pa.array([*embedded, _packed(p)], pa.list_(pa.float64()))})
+
+        return train
+
+    def _encoded(self, rows: DataFrame) -> DataFrame:
+        """(user_id, target, vertical, h): the representation of each row that has a history."""
+        asked = rows.select(*KEY, *(["session_prefix"] if "session_prefix" in rows.columns and not self.stale else []))
+        asked = asked.join(last_n(self.data.train, self.length + 1), "user_id", "left")
+        history = F.coalesce("history", F.array().cast(asked.schema["history"].dataType))
+        if self.stale:
+            history = F.slice(history, F.lit(1), F.greatest(F.size(history) - 1, F.lit(0)))
+        elif "session_prefix" in asked.columns:
+            later = F.transform("session_prefix", lambda x: F.struct(x.alias("item_id"), F.col("vertical").alias("vertical")))
+            history = F.concat(history, F.coalesce(later, F.array().cast(asked.schema["history"].dataType)))
+        asked = asked.withColumn("history", history)
+        newest = F.slice("history", F.greatest(F.size("history") - self.length, F.lit(0)) + 1, F.lit(self.length))
+        events = asked.select(*KEY, F.posexplode(newest).alias("at", "event")).withColumn("item_id", F.col("event.item_id")).join(self.embeddings, "item_id", "left")
+        blank = F.array(*[F.lit(0.0)] * self.d)
+        entry = F.struct("at", F.col("v").isNotNull().alias("known"), F.col("event.vertical").alias("kind"), F.coalesce("v", blank).alias("v"))
+        grouped = events.groupBy(*KEY).agg(F.sort_array(F.collect_list(entry)).alias("events"))
+        length, dense, verticals = self.length, self.p, pa.array(self.verticals, pa.string())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model: Attention = shared.value
             for batch in batches:
-                for row in batch.to_pylist():
-                    history = (row["history"] or [])[: -1 if model.stale else None]
-                    h, _ = attend(model.p, *model._arrays([history], model.length))
-                    ids = np.array([model.index.get(i, 0) for i in row["pool"]])
-                    scores = np.where(ids > 0, model.p["E"][ids] @ h[0], -1e6)
-                    n = len(ids)
-                    yield pa.RecordBatch.from_arrays([*(pa.array([row[k]] * n, batch.schema.field(k).type) for k in KEY), pa.array(row["pool"]), pa.array(scores)], [*KEY, "item_id", "score"])
-
-        return asked.mapInArrow(run, schema)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "data"}
+                column = batch.column("events")
+                events, ends = column.flatten(), np.cumsum(pc.list_value_length(column).to_numpy())
+                vectors = events.field("v").flatten().to_numpy().reshape(len(events), -1)
+                p = {**dense, "E": np.vstack([np.zeros(dense["P"].shape[1]), vectors])}
+                at = windows(np.append(0, ends)[:-1], ends, length)
+                known = np.append(False, events.field("known").to_numpy(zero_copy_only=False))
+                kinds = np.append(0, pc.index_in(events.field("kind"), value_set=verticals).fill_null(-1).to_numpy() + 1)
+                h, _ = attend(p, np.where(known[at], at, 0), kinds[at])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array(list(h), pa.list_(pa.float64()))], [*KEY, "h"])
+
+        types = dict(rows.dtypes)
+        return grouped.mapInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in KEY), "h array<double>"]))
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        ship(rows.sparkSession)
+        encoded, items = self._encoded(rows), self.embeddings.withColumn("_known", F.lit(True))
+        pairs = expand(rows, self.data).join(items, "item_id", "left").join(encoded, list(KEY), "left")
+        dot = F.aggregate(F.zip_with("h", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return pairs.select(*KEY, "item_id", F.when(F.col("_known").isNull(), F.lit(-1e6)).otherwise(F.coalesce(dot, F.lit(0.0))).alias("score"))
