@@ -120,5 +120,5 @@ class Experiment:
             out["top_transfers"] = [r.asDict() for r in self.models["cross_vertical_bridge"].top_transfers(10).collect()]
         for name, model in self.models.items():
             if name.startswith("two_stage"):
-                out.setdefault("importances", {})[name] = model.importances()
+                out.setdefault("importances", {})[name] = model.permutation_importances(self.rows)[:12]
         return out

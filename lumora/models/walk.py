@@ -37,8 +37,8 @@ def item_edges(data: Dataset, top_k: int = 150) -> DataFrame:
 
 
 def attributes(data: Dataset) -> DataFrame:
-    """(item_id, attribute): category, price band and vertical of each item, as tagged strings."""
-    tags = F.array(F.concat(F.lit("category="), "category"), F.concat(F.lit("price_band="), F.col("price_band").cast("string")), F.concat(F.lit("vertical="), "vertical"))
+    """(item_id, attribute): category, price band and vertical of each item, as tagged strings; columns that the items lack give none."""
+    tags = F.array(*(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("category", "price_band", "vertical") if c in data.items.columns))
     return data.items.select("item_id", F.explode(F.array_compact(tags)).alias("attribute"))
 
 

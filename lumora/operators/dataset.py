@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumora.functions.columns import gini, percent_rank_average
 from lumora.operators.split import MIN_USER_EVENTS, frequent, leave_one_out, referenced
-from lumora.schema import EVENTS, ITEMS, require
+from lumora.schema import ATTRIBUTES, EVENTS, ITEMS, require
 from lumora.session import cut
 
 MAX_CANDIDATES = 3000
@@ -89,6 +89,6 @@ class Dataset:
 
 def build_dataset(events: DataFrame, items: DataFrame, min_user_events: int = MIN_USER_EVENTS, max_candidates: int = MAX_CANDIDATES) -> Dataset:
     """Checks the columns, keeps users with enough events and items and events that refer to one another, and splits."""
-    events, items = frequent(require(events, EVENTS, "the log"), "user_id", min_user_events), require(items, ITEMS, "the item table")
+    events, items = frequent(require(events, EVENTS, "the log"), "user_id", min_user_events), require(items, ITEMS, "the item table", ATTRIBUTES)
     events, items = referenced(events, items)
     return Dataset(cut(leave_one_out(events)), cut(items), max_candidates)

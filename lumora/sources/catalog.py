@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
+from lumora.operators.categories import induced
 from lumora.operators.dataset import Dataset, build_dataset
+from lumora.session import cut
 from lumora.sources import ratings, simulator, tables
 
 
@@ -21,13 +23,12 @@ def _simulated(spark: SparkSession, **options) -> Dataset:
     return data
 
 
-def _ratings(spark: SparkSession, paths: dict[str, str], n_cross: int = 22_000, n_single: int = 8_000, min_item_count: int = 10, seed: int = 0, **options) -> Dataset:
+def _ratings(spark: SparkSession, paths: dict[str, str], n_cross: int = 22_000, n_single: int = 8_000, min_item_count: int = 10, seed: int = 0, rank: int = 64, **options) -> Dataset:
     from pyspark.sql import functions as F
 
-    events = ratings.cross_vertical_cohort(ratings.read_ratings(spark, paths), n_cross, n_single, min_item_count, seed)
+    events = cut(ratings.cross_vertical_cohort(cut(ratings.read_ratings(spark, paths)), n_cross, n_single, min_item_count, seed))
     items = events.groupBy("item_id").agg(F.min_by("vertical", F.struct("ts", "vertical")).alias("vertical"))
-    items = items.select("item_id", "vertical", F.col("vertical").alias("category"), F.lit(1).alias("price_band"))
-    return build_dataset(events, items, **options)
+    return induced(build_dataset(events, items, **options), rank=rank, seed=seed)
 
 
 LOADERS: dict[str, Callable[..., Dataset]] = {"orders": _orders, "simulated": _simulated, "ratings": _ratings}

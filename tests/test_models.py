@@ -10,7 +10,9 @@ from lumora.models.catalog import build
 from lumora.models.factor import PairwiseFactors
 from lumora.models.rounds import averaged, shares
 from lumora.models.sequence import Attention, windows
+from lumora.models.walk import attributes
 from lumora.operators.dataset import Dataset
+from lumora.sources.catalog import load
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +90,16 @@ def test_permuted_features(spark, camps):
     drops = model.permutation_importances(rows, n_rows=20, n_negatives=4, repeats=1)
     assert {c for c, _ in drops} == set(model._columns()) and [d for _, d in drops] == sorted((d for _, d in drops), reverse=True)
     assert dict(drops)["hist_total"] == pytest.approx(0) and drops[0][1] > 0
+
+
+def test_categories_of_rating_files(spark, tmp_path):
+    """Rating files to a dataset: low ratings go, and items that the same users take share a category within their vertical."""
+    for vertical in "xy":
+        rows = [f"u{u},{vertical}{'ab'[u % 2]}{(u + t) % 6},{5.0 if t < 6 else 1.0},{1_600_000_000_000 + 1000 * t}" for u in range(40) for t in range(7)]
+        (tmp_path / f"{vertical}.csv").write_text("\n".join(["user_id,parent_asin,rating,timestamp", *rows]))
+    data = load(spark, "ratings", paths={v: f"{tmp_path}/{v}.csv" for v in "xy"}, min_item_count=1, rank=2)  # the camps are all that two factors can tell apart
+    found = {r.item_id: (r.vertical, r.category) for r in data.items.collect()}
+    assert len(found) == 24 and data.events.count() == 480 and "price_band" not in data.items.columns
+    assert {(item[0], c) for item, (_, c) in found.items()} == {("x", "c0"), ("x", "c1"), ("y", "c2"), ("y", "c3")}
+    assert len({(item[:2], c) for item, (_, c) in found.items()}) == 4
+    assert {r.attribute.split("=")[0] for r in attributes(data).collect()} == {"category", "vertical"}
