@@ -13,16 +13,25 @@ from dataclasses import dataclass
 import numpy as np
 
 WIDTH = 64
+SAFE = 60.0  # exp of this and its inverse are far from the bounds of single precision
 
 
-def _shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(softmax of the rows of x, in place, and the logs of the sums that divide it, the row's highest value included)."""
-    high = x.max(axis=1, keepdims=True)
-    x -= high
+def _exp_sums(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the rows of x, in place, each less its highest value unless bound, which no |x| exceeds, is SAFE; (their sums, the logs of
+    the sums of what they were)."""
+    high = 0 if bound <= SAFE else x.max(axis=1)
+    if bound > SAFE:
+        x -= high[:, None]
     np.exp(x, out=x)
-    total = x.sum(axis=1, keepdims=True)
-    x /= total
-    return x, (np.log(total) + high)[:, 0]
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return total, np.log(total) + high
+
+
+def _with_one(x: np.ndarray) -> np.ndarray:
+    """x with a last column of ones, so that a product with weights over their bias is a whole layer."""
+    out = np.empty((len(x), x.shape[1] + 1), x.dtype)
+    out[:, :-1], out[:, -1] = x, 1
+    return out
 
 
 @dataclass
@@ -95,13 +104,19 @@ class Gru:
     def class_of(self, token: np.ndarray) -> np.ndarray:
         return np.where(token < self.n_head, token // WIDTH, token - self.n_head + self.bins)
 
+    def _prepare(self) -> None:
+        """What the weights make of every token and state before the gates, and the output's weights over their biases."""
+        p, n = self.p, self.size
+        half = np.repeat(np.array([0.5, 1], p["U"].dtype), [2 * n, n])  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        self.table, self.recurrent = p["E"] @ (p["W"] * half) + p["b"] * half, p["U"] * half
+        self.classes, self.inside = np.concatenate([p["C"], p["c"][None]]), np.concatenate([p["O"], p["o"][:, None]], axis=1)
+        self.bounds = [float(np.abs(x).sum(axis=-2).max()) for x in (self.classes, self.inside)]
+
     def run(self, s: Streams, lo: int, hi: int, h: np.ndarray, keep: bool):
         """The states of steps lo to hi after state h, the last one, and what backward needs: previous states, their candidate parts,
         gates r and z, candidates, and 0 where a text begins."""
-        p, n, steps, kind = self.p, self.size, hi - lo, h.dtype
-        half = np.repeat(np.array([0.5, 1], kind), [2 * n, n])  # sigmoid(x) = (1 + tanh(x / 2)) / 2
-        inputs = self.table[s.before[lo:hi]] * half
-        u, alive = p["U"] * half, (~s.begins[lo:hi, :, None]).astype(kind)
+        n, steps, kind = self.size, hi - lo, h.dtype
+        inputs, u, alive = self.table.take(s.before[lo:hi], axis=0), self.recurrent, (~s.begins[lo:hi, :, None]).astype(kind)
         out = np.empty((steps, *h.shape), kind)
         before, part, gates, new = (np.empty((steps if keep else 1, h.shape[0], w), kind) for w in (n, n, 2 * n, n))
         g = np.empty((h.shape[0], 3 * n), kind)
@@ -126,67 +141,79 @@ class Gru:
     def _by_class(self, kind: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """(the head words among the tokens in order of class, each class with its bounds among them)."""
         head = np.flatnonzero(token < self.n_head)
-        order = head[np.argsort(kind[head], kind="stable")]
+        order = head[np.argsort(kind[head].astype(np.uint16), kind="stable")]
         cuts = np.flatnonzero(np.diff(kind[order], prepend=-1, append=-1)) if len(order) else []
         return order, [(int(kind[order[a]]), int(a), int(b)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _inside(self, x: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
-        """The logits of the words of their class at states x, in order of class."""
+        """The logits of the words of their class at states x (with a one), in order of class."""
         out = np.empty((len(x), WIDTH), x.dtype)
         for k, a, b in classes:
-            np.matmul(x[a:b], self.p["O"][k], out=out[a:b])
-            out[a:b] += self.p["o"][k]
+            np.matmul(x[a:b], self.inside[k], out=out[a:b])
         return out
 
     def log_probs(self, states: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the tokens at states [n, size]."""
-        kind = self.class_of(token)
-        logits = states @ self.p["C"] + self.p["c"]
-        out = logits[np.arange(len(token)), kind]
-        out -= _shares(logits)[1]
+        kind, x = self.class_of(token), _with_one(states)
+        reach = max(1.0, float(np.abs(states).max(initial=0)))
+        logits = x @ self.classes
+        out = logits.take(np.arange(len(token)) * logits.shape[1] + kind)
+        out -= _exp_sums(logits, reach * self.bounds[0])[1]
         order, classes = self._by_class(kind, token)
         if classes:
-            logits = self._inside(states[order], classes)
-            own = logits[np.arange(len(order)), token[order] % WIDTH]
-            out[order] += own - _shares(logits)[1]
+            logits = self._inside(x.take(order, axis=0), classes)
+            own = logits.take(np.arange(len(order)) * WIDTH + token[order] % WIDTH)
+            out[order] += own - _exp_sums(logits, reach * self.bounds[1])[1]
         return out
 
     def loss_and_gradients(self, s: Streams, lo: int, hi: int, h: np.ndarray):
         """(nats, tokens, state after, gradients of the mean loss) of a window."""
         p, n = self.p, self.size
-        self.table = p["E"] @ p["W"] + p["b"]
+        self._prepare()
         states, last, (before, part, r, z, new, alive) = self.run(s, lo, hi, h, keep=True)
         flat, token = states.reshape(-1, n), s.token[lo:hi].reshape(-1)
         live = np.flatnonzero(s.text[lo:hi].reshape(-1) >= 0)
-        x, token = flat[live], token[live]
-        kind, scale, every = self.class_of(token), np.float32(1.0 / max(1, len(live))), np.arange(len(live))
-        grads = {k: np.zeros_like(p[k]) for k in ("E", "O", "o")}
-        logits = x @ p["C"] + p["c"]
-        own = logits[every, kind]
-        d, total = _shares(logits)
-        nats = float((total - own).sum(dtype=np.float64))
-        d[every, kind] -= 1
-        d *= scale
-        grads["C"], grads["c"] = x.T @ d, d.sum(axis=0)
+        x, token = _with_one(flat if len(live) == len(flat) else flat[live]), token[live]
+        kind, scale, reach = self.class_of(token), np.float32(1.0 / max(1, len(live))), max(1.0, float(np.abs(flat).max(initial=0)))
+        grads = {"E": np.zeros_like(p["E"])}
+        d = x @ self.classes
+        at = np.arange(len(live)) * d.shape[1] + kind
+        own = d.take(at)
+        total, logs = _exp_sums(d, reach * self.bounds[0])
+        nats = float((logs - own).sum(dtype=np.float64))
+        d *= (scale / total)[:, None]
+        d.reshape(-1)[at] -= scale
+        of_classes = x.T @ d
+        grads["C"], grads["c"] = of_classes[:-1], of_classes[-1]
         dx = d @ p["C"].T
         order, classes = self._by_class(kind, token)
+        of_words = np.zeros_like(self.inside)
         if classes:
-            words, at, every = x[order], token[order] % WIDTH, np.arange(len(order))
-            logits = self._inside(words, classes)
-            own = logits[every, at]
-            d, total = _shares(logits)
-            nats += float((total - own).sum(dtype=np.float64))
-            d[every, at] -= 1
-            d *= scale
-            back = np.empty_like(words)
+            words, at = x.take(order, axis=0), np.arange(len(order)) * WIDTH + token[order] % WIDTH
+            d = self._inside(words, classes)
+            own = d.take(at)
+            total, logs = _exp_sums(d, reach * self.bounds[1])
+            nats += float((logs - own).sum(dtype=np.float64))
+            d *= (scale / total)[:, None]
+            d.reshape(-1)[at] -= scale
+            back = np.empty((len(words), n), words.dtype)
             for k, a, b in classes:
-                grads["O"][k], grads["o"][k] = words[a:b].T @ d[a:b], d[a:b].sum(axis=0)
+                np.matmul(words[a:b].T, d[a:b], out=of_words[k])
                 np.matmul(d[a:b], p["O"][k].T, out=back[a:b])
             dx[order] += back
-        dstates = np.zeros_like(flat)
-        dstates[live] = dx
+        grads["O"], grads["o"] = (np.ascontiguousarray(x) for x in (of_words[:, :-1], of_words[:, -1]))
+        dstates = dx
+        if len(live) < len(flat):
+            dstates = np.zeros_like(flat)
+            dstates[live] = dx
         dstates = dstates.reshape(states.shape)
-        to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), part * r * (1 - r)
+        rest = 1 - z
+        to_new, to_z, to_r = new * new, before - new, part * r
+        np.subtract(1, to_new, out=to_new)
+        to_new *= rest
+        rest *= z
+        to_z *= rest
+        to_r *= 1 - r
         dh, u = np.zeros_like(h), np.ascontiguousarray(p["U"].T)
         dinputs, dg = (np.empty((hi - lo, h.shape[0], 3 * n), h.dtype) for _ in range(2))
         for t in range(hi - lo - 1, -1, -1):
@@ -202,11 +229,10 @@ class Gru:
             dh *= alive[t]
         grads["U"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
         tokens, dflat = s.before[lo:hi].reshape(-1), dinputs.reshape(-1, 3 * n)
-        order = np.argsort(tokens, kind="stable")
+        order = np.argsort(tokens.astype(np.uint16) if self.end < 1 << 16 else tokens, kind="stable")
         begin = np.flatnonzero(np.diff(tokens[order], prepend=-1))
-        by_token = np.add.reduceat(dflat[order], begin, axis=0)
-        known = tokens[order[begin]]
-        grads["W"], grads["b"], grads["E"][known] = p["E"][known].T @ by_token, by_token.sum(axis=0), by_token @ p["W"].T
+        grads["W"], grads["b"] = p["E"].take(tokens, axis=0).T @ dflat, dflat.sum(axis=0)
+        grads["E"][tokens[order[begin]]] = np.add.reduceat((dflat @ p["W"].T).take(order, axis=0), begin, axis=0)
         return nats, len(live), last, grads
 
     def train(self, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, width: int = 32, window: int = 24, rate: float = 0.01, span: tuple[float, float] = (0.0, 1.0), follows: np.ndarray | None = None) -> list[float]:
@@ -243,7 +269,7 @@ class Gru:
 
     def score(self, ids: np.ndarray, bounds: np.ndarray, width: int = 384, window: int = 48) -> np.ndarray:
         """The natural log probability of each text, in double precision sums."""
-        self.table = self.p["E"] @ self.p["W"] + self.p["b"]
+        self._prepare()
         s = streams(ids, bounds, width, self.end)
         out = np.zeros(len(bounds) - 1)
         h = np.zeros((s.token.shape[1] if len(s.token) else 1, self.size), np.float32)
