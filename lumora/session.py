@@ -25,6 +25,10 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.ui.retainedJobs", "100")  # what the driver keeps of past jobs and plans is never shown
+        .config("spark.ui.retainedStages", "100")
+        .config("spark.ui.retainedTasks", "2000")
+        .config("spark.sql.ui.retainedExecutions", "20")
         .getOrCreate()
     )
 

@@ -14,6 +14,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from lumora.session import session
 
-    s = session(4, 4, "4g")
+    s = session(8, 4, "8g")
     s.sparkContext.setLogLevel("ERROR")
     return s
