@@ -18,6 +18,9 @@ from lumora.llm.op07_token_files import written_and_read
 from lumora.llm.op08_chat import format_chats, read_back, with_hostile
 from lumora.llm.op09_embedding_dedup import near_duplicates as near_vectors
 from lumora.llm.op10_minhash import near_duplicates
+from lumora.llm.op11_hard_negatives import mine_negatives
+from lumora.llm.op12_bpe import decode_ids, encode_texts as encode_bytes
+from lumora.llm.op13_alignment import align_texts
 from lumora.llm.sql import ORACLE_SQL
 
 
@@ -69,10 +72,27 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return mine_negatives(vectors, anchors="vec_id % 50 = 0", positives=5, negatives=3, low=50, high=95, scale=256.0)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = decode_ids(encode_bytes(_table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, op2_sentencepiece, op3_mixing, op4_token_counts, op5_fingerprints,
         op6_lm_scores, op7_token_files, op8_chat_format, op9_embedding_dedup, op10_minhash_dedup,
+        op11_hard_negatives, op12_bpe, op13_alignment,
     )
     return {f.__name__: f for f in found}
 
