@@ -29,7 +29,7 @@ from lumora.session import ship
 
 WINDOW = 32  # bytes that decide about a cut
 LEAST, MEAN, MOST = 256, 1024, 8192  # bytes of a chunk
-CACHE_BYTES = 32 << 20  # of chunks and ids in each of the cache's two generations
+CACHE_BYTES = 16 << 20  # of chunks and ids in each of the cache's two generations
 SLICE_BYTES = 4 << 20  # bytes of texts cut at once, about
 LONG_BYTES = 16 << 10  # pieces above go to the library, whose merges aren't quadratic in a word's length
 _GEAR = np.random.default_rng(1201).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -50,6 +50,23 @@ def _byte_of() -> dict[str, int]:
     return {chr(x): x for x in visible} | {chr(256 + i): x for i, x in enumerate(hidden)}
 
 
+def _vocabulary(spec: dict) -> tuple[dict[bytes, int], dict[str, int], list[bytes]]:
+    """(ids of ordinary tokens by their bytes, ids of special tokens, bytes by id) of a tokenizer's .json."""
+    byte, special = _byte_of(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+    bytes_of = [b""] * (max([*ranks.values(), *special.values()]) + 1)
+    for t, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+        bytes_of[i] = t
+    return ranks, special, bytes_of
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """By id the bytes of a byte-level vocabulary's tokens."""
+    with open(path) as f:
+        return _vocabulary(json.load(f))[2]
+
+
 class ByteBpe:
     """The vocabulary at path. plain: strings of special tokens inside a text are ordinary text, else tokens (the library's default).
 
@@ -71,11 +88,7 @@ class ByteBpe:
         before, model = spec["pre_tokenizer"] or {}, spec["model"]
         if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model["type"] != "BPE":
             raise ValueError("a byte-level BPE vocabulary is wanted")
-        byte, special = _byte_of(), {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-        self.bytes_of: list[bytes] = [b""] * (max([*model["vocab"].values(), *special.values()]) + 1)
-        for t, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
-            self.bytes_of[i] = t
+        byte, (ranks, special, self.bytes_of) = _byte_of(), _vocabulary(spec)
         self.lengths = np.array([len(t) for t in self.bytes_of])
         merged = [ranks.get(bytes(byte[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))) for m in model["merges"]]
         self.fast, self.special, self.agreed = None, set() if plain else set(special), {}
@@ -243,7 +256,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, plain: bool) -> Iterat
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    table = open_bpe(path).bytes_of
+    table = token_bytes(path)  # nothing else of the vocabulary is opened
     for batch in batches:
         texts = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
         yield batch.append_column("text", pa.array(texts, pa.string()))

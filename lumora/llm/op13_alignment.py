@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.op12_bpe import encode_slice, open_bpe, slices
+from lumora.llm.op12_bpe import encode_slice, open_bpe, slices, token_bytes
 from lumora.session import cut, ship
 
 LINKS = 1 << 20  # links expanded at once
@@ -74,7 +74,7 @@ def open_pieces(path: str) -> Pieces:
 
 @lru_cache(maxsize=4)
 def _lengths(path: str) -> np.ndarray:
-    table = open_bpe(path, True).bytes_of if path.endswith(".json") else open_pieces(path).bytes_of
+    table = token_bytes(path) if path.endswith(".json") else open_pieces(path).bytes_of
     return np.array([len(x) for x in table])
 
 
