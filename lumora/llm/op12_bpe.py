@@ -30,7 +30,8 @@ from lumora.session import ship
 WINDOW = 32  # bytes that decide about a cut
 LEAST, MEAN, MOST = 256, 1024, 8192  # bytes of a chunk
 CACHE_BYTES = 16 << 20  # of chunks and ids in each of the cache's two generations
-SLICE_BYTES = 4 << 20  # bytes of texts cut at once, about
+SLICE_BYTES = 1 << 20  # bytes of texts cut at once, about
+DECODED_ROWS = 500  # rows decoded at once
 LONG_BYTES = 16 << 10  # pieces above go to the library, whose merges aren't quadratic in a word's length
 _GEAR = np.random.default_rng(1201).integers(0, 1 << 32, 256, dtype=np.uint32)
 _FACTOR = 0x9E3779B1
@@ -257,9 +258,11 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, plain: bool) -> Iterat
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     table = token_bytes(path)  # nothing else of the vocabulary is opened
-    for batch in batches:
-        texts = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
-        yield batch.append_column("text", pa.array(texts, pa.string()))
+    for whole in batches:
+        for first in range(0, max(1, len(whole)), DECODED_ROWS):
+            batch = whole.slice(first, DECODED_ROWS)
+            texts = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            yield batch.append_column("text", pa.array(texts, pa.string()))
 
 
 def _types(df: DataFrame, *without: str) -> str:
