@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.llm.op12_bpe import encode_slice, open_bpe, slices, token_bytes
+from lumora.llm.text import buffers
 from lumora.session import cut, ship
 
-LINKS = 1 << 20  # links expanded at once
-TOKENS = 1 << 18  # A tokens of texts laid end to end, about
-TASK_PAIRS = 1 << 21  # distinct pairs that a task counts before it hands them on
+LINKS = 1 << 19  # links expanded at once
+TOKENS = 1 << 17  # A tokens of texts laid end to end, about
+TASK_PAIRS = 1 << 20  # distinct pairs that a task counts before it hands them on
 SLICE_PAIRS = 2_000_000  # pairs whose counts are broadcast at once
 SALTS = 8
 RUN = 512  # characters of a run of words, at least
@@ -78,23 +79,29 @@ def _lengths(path: str) -> np.ndarray:
     return np.array([len(x) for x in table])
 
 
+def _kind(path: str) -> str:
+    """How an id of this vocabulary is stored."""
+    return "<u2" if len(_lengths(path)) <= 1 << 16 else "<u4"
+
+
 def _encode(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[pa.RecordBatch]:
     """The ids of both vocabularies; none where they don't give back the text with a space before it."""
     bpe, pieces = open_bpe(a, True), open_pieces(b)
+    kinds = [_kind(path) for path in (a, b)]
     for batch in batches:
-        texts = batch.column("text")
-        spaced = pa.array([f" {t}" if t else "" for t in texts.to_pylist()], pa.string())
-        for first, buf, offsets in slices(spaced):
+        for first, _, rows in slices(batch.column("text")):
+            part = batch.slice(first, len(rows) - 1)
+            buf, offsets = buffers(pa.array([f" {t}" if t else "" for t in part.column("text").to_pylist()], pa.string()))
             raw, at = buf.tobytes(), offsets.tolist()
             ids_a = encode_slice(bpe, buf, offsets)
             ids_b = pieces.encode([raw[lo + 1 : hi].decode() for lo, hi in zip(at, at[1:], strict=False)])
-            out_a, out_b = [], []
+            out: tuple[list, list] = [], []
             for lo, hi, x, y in zip(at, at[1:], ids_a, ids_b, strict=False):
                 same = hi > lo and b"".join(map(bpe.bytes_of.__getitem__, x.tolist())) == raw[lo:hi] == b"".join(map(pieces.bytes_of.__getitem__, y))
-                out_a.append(x.astype("<u4").tobytes() if same else b"")
-                out_b.append(np.array(y, "<u4").tobytes() if same else b"")
-            part = batch.slice(first, len(at) - 1)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], [*(c for c in part.schema.names if c != "text"), "a", "b"])
+                for ids, kind, column in zip((x, y), kinds, out, strict=True):
+                    column.append(np.array(ids, kind).tobytes() if same else b"")
+            names = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(column, pa.binary()) for column in out)], [*names, "a", "b"])
 
 
 @dataclass
@@ -114,12 +121,15 @@ class Aligned:
         return np.diff(sums[self.at_groups])
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, where each row's begin) of a binary column of ids."""
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), (at - at[0]) // 4
+def _offsets(column: pa.Array, kind: str) -> np.ndarray:
+    """Where each row's ids begin among those of a binary column."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return (at - at[0]) // np.dtype(kind).itemsize
+
+
+def _flat(column: pa.Array, kind: str) -> np.ndarray:
+    """All ids of a binary column."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.int64)
 
 
 def align(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray) -> Aligned:
@@ -130,15 +140,17 @@ def align(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, len_
     return Aligned(a, b, at_a, at_b, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), at_groups)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], len_a: np.ndarray, len_b: np.ndarray) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
+def _parts(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
     """Runs of rows with about TOKENS A tokens, aligned."""
+    kinds, tables = (_kind(a), _kind(b)), (_lengths(a), _lengths(b))
     for batch in batches:
-        (a, at_a), (b, at_b) = _flat(batch.column("a")), _flat(batch.column("b"))
+        at = [_offsets(batch.column(c), kind) for c, kind in zip("ab", kinds, strict=True)]
         row = 0
         while row < len(batch):
-            to = max(row + 1, int(np.searchsorted(at_a, at_a[row] + TOKENS, "right")) - 1)
-            own = [(ids[at[row] : at[to]], at[row : to + 1] - at[row]) for ids, at in ((a, at_a), (b, at_b))]
-            yield batch.slice(row, to - row), align(*own[0], *own[1], len_a, len_b)
+            to = max(row + 1, int(np.searchsorted(at[0], at[0][row] + TOKENS, "right")) - 1)
+            part = batch.slice(row, to - row)
+            ids = [_flat(part.column(c), kind) for c, kind in zip("ab", kinds, strict=True)]
+            yield part, align(ids[0], at[0][row : to + 1] - at[0][row], ids[1], at[1][row : to + 1] - at[1][row], *tables)
             row = to
 
 
@@ -179,17 +191,17 @@ def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def _count(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[pa.RecordBatch]:
     """(a, b, n): in how many of this task's texts ids are linked; a pair comes more than once only if there are over TASK_PAIRS."""
-    len_a, len_b = _lengths(a), _lengths(b)
+    n_b = len(_lengths(b))
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def out() -> Iterator[pa.RecordBatch]:
         keys, n = _summed(held)
         for i in range(0, len(keys), 100_000):
             k = keys[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k // len(len_b), pa.int32()), pa.array(k % len(len_b), pa.int32()), pa.array(n[i : i + 100_000], pa.int64())], ["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(k // n_b, pa.int32()), pa.array(k % n_b, pa.int32()), pa.array(n[i : i + 100_000], pa.int64())], ["a", "b", "n"])
 
-    for _, x in _parts(batches, len_a, len_b):
-        held.append(np.unique(pairs(x, len(len_b))[1], return_counts=True))
+    for _, x in _parts(batches, a, b):
+        held.append(np.unique(pairs(x, n_b)[1], return_counts=True))
         if sum(len(k) for k, _ in held) > TASK_PAIRS:
             held = [_summed(held)]
             if len(held[0][0]) > TASK_PAIRS // 2:
@@ -219,7 +231,7 @@ def _measure(batches: Iterator[pa.RecordBatch], a: str, b: str, shared, lo: int,
     """For each row n_best and count_sum over A ids from lo on, below hi; with `whole` also the other columns."""
     len_a, len_b = _lengths(a), _lengths(b)
     known, counts, best = shared.value
-    for part, x in _parts(batches, len_a, len_b):
+    for part, x in _parts(batches, a, b):
         some = slice(None) if whole and hi >= len(len_a) else np.flatnonzero((x.a >= lo) & (x.a < hi))
         texts, pair, links = pairs(x, len(len_b), some)
         n = counts[np.searchsorted(known, pair)] if len(known) else np.zeros(0, np.int64)
