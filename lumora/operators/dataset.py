@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 from typing import Any
 
@@ -23,13 +23,14 @@ TAIL = 0.70
 class Dataset:
     """events carry the part (train, val, test, or null: a held-out item unknown to train); items have events.
 
-    seen, popularity and candidates are computed once, as tables: every model and measure reads them.
+    seen, popularity, candidates and the evaluation rows are computed once, as tables: every model and measure reads them.
     """
 
     events: DataFrame
     items: DataFrame
     max_candidates: int = MAX_CANDIDATES
     log: Any = None
+    _rows: dict[str, DataFrame] = field(default_factory=dict, init=False, repr=False, compare=False)
 
     @cached_property
     def train(self) -> DataFrame:
@@ -46,6 +47,10 @@ class Dataset:
         users = self.seen.groupBy("item_id").agg(F.count("*").alias("pop"))
         return cut(self.items.select("item_id", "vertical").join(users, "item_id", "left").withColumn("pop", F.coalesce("pop", F.lit(0))))
 
+    @cached_property
+    def n_candidates(self) -> int:
+        return self.candidates.count()
+
     @cached_property
     def candidates(self) -> DataFrame:
         """(item_id, vertical, pop): the most popular of each vertical and all held-out targets."""
@@ -57,6 +62,11 @@ class Dataset:
 
     def eval_rows(self, part: str = "test") -> DataFrame:
         """A row for each held-out target whose user has a history: user_id, target, vertical, history counts and slice flags."""
+        if part not in self._rows:
+            self._rows[part] = cut(self._eval_rows(part))
+        return self._rows[part]
+
+    def _eval_rows(self, part: str) -> DataFrame:
         rows = self.events.where(F.col("part") == part).select("user_id", F.col("item_id").alias("target"), "vertical")
         history = self.train.groupBy("user_id").agg(F.count("*").alias("hist_len"), F.count_distinct("vertical").alias("n_hist_verticals"))
         inside = self.train.groupBy("user_id", "vertical").agg(F.count("*").alias("in_vertical_hist"))

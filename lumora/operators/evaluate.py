@@ -21,6 +21,9 @@ METRICS = tuple(f"{m}_at_{k}" for k in KS for m in ("hit", "ndcg"))
 PRIMARY = "ndcg_at_10"
 MIN_SLICE = 30
 KEY = ("user_id", "target", "vertical")
+BROADCAST_ITEMS = 1_000_000  # candidates that are broadcast, at most
+BLOCK_ITEMS = 5_000  # beyond that, candidates of a block
+ROW_SALTS = 64  # and the shares that a vertical's rows are dealt to
 
 
 def slices() -> dict[str, tuple[str | None, Column]]:
@@ -35,9 +38,21 @@ def slices() -> dict[str, tuple[str | None, Column]]:
     }
 
 
-def expand(rows: DataFrame, data: Dataset) -> DataFrame:
-    """Every evaluation row with every candidate of its vertical: for models whose scores are dense."""
-    return rows.select(*KEY).join(data.candidates, "vertical")
+def expand(rows: DataFrame, data: Dataset, keep: Sequence[str] = (), pool: DataFrame | None = None) -> DataFrame:
+    """Every evaluation row (the key and the columns `keep`) with every candidate of its vertical: for models whose scores are dense.
+
+    pool: the candidates with other columns. Verticals are few, so rows never meet candidates by vertical alone: BROADCAST_ITEMS
+    candidates at most are sent to the rows where they are; beyond, rows meet blocks of BLOCK_ITEMS candidates, and each
+    vertical's rows are dealt to ROW_SALTS tasks a block.
+    """
+    rows, pool = rows.select(*KEY, *keep), data.candidates if pool is None else pool
+    if data.n_candidates <= BROADCAST_ITEMS:
+        return rows.join(F.broadcast(pool), "vertical")
+    blocks = pool.withColumn("_block", F.floor(F.row_number().over(Window.partitionBy("vertical").orderBy("item_id")) / BLOCK_ITEMS).cast("int"))
+    last = blocks.groupBy("vertical").agg(F.max("_block").alias("_last"))  # a row a vertical
+    salted = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ROW_SALTS - 1))))
+    placed = rows.join(F.broadcast(last), "vertical").withColumn("_block", F.explode(F.sequence(F.lit(0), "_last"))).withColumn("_salt", F.pmod(F.xxhash64(*KEY), F.lit(ROW_SALTS)).cast("int"))
+    return placed.join(salted, ["vertical", "_block", "_salt"]).drop("_block", "_salt", "_last")
 
 
 def mask_seen(scores: DataFrame, data: Dataset) -> DataFrame:
