@@ -12,10 +12,13 @@ from lumora.models.bridge import CategoryBridge
 from lumora.models.fusion import TwoStage
 from lumora.models.neighbours import ItemNeighbours, Popularity, cooccurrence
 from lumora.models.walk import GraphWalk, graph_edges, item_edges
-from lumora.operators import compare, evaluate, split
+from lumora.operators import compare, evaluate, exposure, sampling, split
 from lumora.operators.dataset import Dataset, build_dataset
+from lumora.functions import draws
 from lumora.plans import sql
-from lumora.sources import tables
+from lumora.session import scratch
+from lumora.sources import ratings, tables
+from lumora.streaming import sessions
 
 KEY = [*evaluate.KEY]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +104,62 @@ def _stream_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.leave_one_out(tables.stream_events(spark, sf_dir)).select("user_id", "item_id", "vertical", "tiebreak.event_id", "part")
 
 
+def _slates(data: Dataset) -> DataFrame:
+    rows = data.eval_rows()
+    return compare.interleave(GraphWalk(use_metadata=False).fit(data).top(rows), Popularity().fit(data).top(rows))
+
+
+def _negatives(data: Dataset) -> DataFrame:
+    found = sampling.negatives(_dense(data), columns.zscore("score0", KEY), n_hard=8, n_easy=16)
+    return found.select(*KEY, "item_id", "hard")
+
+
+def _replicates(data: Dataset) -> DataFrame:
+    return compare.replicates(_paired(data))
+
+
+def _interval(data: Dataset) -> DataFrame:
+    found = compare.replicate_interval(_replicates(data))
+    return found.select("n_replicates", *(F.round(c, 8).alias(c) for c in ("ci_low", "ci_high", "p_value")), *(F.round(c, 5).alias(c) for c in ("rel_ci_low", "rel_ci_high")), "significant")
+
+
+def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream as a test of two arms in its second half of January: clicks over views, and clicks before it."""
+    log = tables.table(spark, sf_dir, "events")
+    is_a = lambda kind: (F.col("event_type") == kind).cast("int")
+    return exposure.arms(exposure.units(log, draws.coin("user_id", F.lit("arm")), is_a("click"), is_a("view"), F.dayofmonth("ts") > 15))
+
+
+def _rounded_doubles(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(f.name, 8).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields))
+
+
+def _rating_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines written as rating files, one folder a vertical, and read back."""
+    return ratings.read_ratings(spark, ratings.write_ratings(tables.order_ratings(spark, sf_dir), scratch(spark, "ratings-")))
+
+
+def _rating_columns(df: DataFrame) -> DataFrame:
+    return df.select("user_id", "item_id", "vertical", F.col("tiebreak.timestamp").alias("timestamp"))
+
+
+def _spans(df: DataFrame) -> DataFrame:
+    said = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return df.select("user_id", said("start").alias("began"), said("end").alias("ended"), "n")
+
+
+def _live(spark: SparkSession, sf_dir: str, stream: bool) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    events = (sessions.files_as_stream(spark, path) if stream else spark.read.parquet(path)).withColumn("item_id", F.get_json_object("props", "$.k")).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = sessions.live_sessions(events)
+    return sessions.drained(found) if stream else found
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions.live_popularity(tables.stream_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "vertical", "item_id", "n")
+
+
 #: Queries over the split order log.
 _OF_DATA: dict[str, Callable[[Dataset], DataFrame]] = {
     "item_dimension": lambda d: d.items,
@@ -152,6 +211,12 @@ _OF_DATA: dict[str, Callable[[Dataset], DataFrame]] = {
     "rowwise_zscore_full": lambda d: _dense(d).select(*KEY, "item_id", F.round(columns.zscore("score0", KEY), 6).alias("z")),
     "fusion_features_full": _features_full,
     "blend_rank": _blended,
+    "interleaved_slates": _slates,
+    "interleaved_outcomes": lambda d: compare.interleaved_outcomes(_slates(d)),
+    "sampled_negatives": _negatives,
+    "validation_sample": lambda d: sampling.rows_by_vertical(d.eval_rows("val"), 100).select(*KEY, "hist_len"),
+    "bootstrap_replicates": lambda d: _rounded_doubles(_replicates(d)),
+    "bootstrap_interval": _interval,
     "sequence_pairs": lambda d: split.next_pairs(d.train),
     "last_n_history": _history,
 }
@@ -163,6 +228,13 @@ _OF_TABLES: dict[str, Query] = {
     "multi_vertical_users": lambda s, p: tables.order_events(s, p).groupBy("user_id").agg(F.count_distinct("vertical").alias("n_verticals"), F.count("*").alias("n")).where("n_verticals >= 2"),
     "capped_candidate_pool": lambda s, p: _data(s, p, max_candidates=100).candidates.select("item_id", "vertical", "pop"),
     "stream_split": _stream_split,
+    "rating_log": lambda s, p: _rating_columns(_rating_log(s, p)),
+    "rating_cohort": lambda s, p: _rating_columns(ratings.cross_vertical_cohort(_rating_log(s, p), n_cross=60, n_single=20, min_item_count=2)),
+    "split_test_arms": lambda s, p: _rounded_doubles(_arms(s, p)),
+    "split_test_result": lambda s, p: _rounded_doubles(exposure.split_result(_arms(s, p))),
+    "event_sessions": lambda s, p: _spans(_live(s, p, stream=False)),
+    "stream_sessions": lambda s, p: _spans(_live(s, p, stream=True)),
+    "daily_popularity": _daily,
 }
 
 

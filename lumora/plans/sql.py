@@ -93,8 +93,38 @@ for _name in ("popularity", "knn", "walk_within", "walk_xvert", "walk_kg", "brid
     STEPS[f"measured_{_name}"] = ((f"rank_{_name}",), f"SELECT *, {_METRICS}, 1 / rank AS mrr FROM rank_{_name}")
     STEPS[f"top_{_name}"] = (("open_pairs", f"score_{_name}"), f"""SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY user_id, target, vertical ORDER BY round(score, 10) DESC, item_id) AS place
         FROM score_{_name} s SEMI JOIN open_pairs o ON o.user_id = s.user_id AND o.target = s.target AND o.item_id = s.item_id) WHERE place <= 10""")
+STEPS["slates"] = (("top_walk_xvert", "top_popularity"), """WITH RECURSIVE lists AS (
+        SELECT user_id, target, vertical, coalesce(list(item_id ORDER BY place) FILTER (a), []) AS a, coalesce(list(item_id ORDER BY place) FILTER (NOT a), []) AS b
+        FROM (SELECT user_id, target, vertical, item_id, place, true AS a FROM top_walk_xvert UNION ALL SELECT user_id, target, vertical, item_id, place, false FROM top_popularity) GROUP BY ALL
+    ), drawn AS (
+        SELECT *, 0 AS slot, CAST([] AS BIGINT[]) AS slate, CAST(NULL AS VARCHAR) AS owner FROM lists
+        UNION ALL
+        SELECT user_id, target, vertical, a, b, slot + 1, list_append(slate, free[1]), CASE WHEN heads THEN 'a' ELSE 'b' END
+        FROM (SELECT *, list_filter(CASE WHEN heads THEN a ELSE b END, lambda x: NOT list_contains(slate, x)) AS free
+            FROM (SELECT *, md5(concat_ws('|', user_id, target, vertical, slot + 1, 0)) < '8' AS heads FROM drawn)) WHERE slot < 10 AND len(free) > 0
+    )
+    SELECT user_id, target, vertical, slate[-1] AS item_id, slot, owner FROM drawn WHERE slot > 0""")
+STEPS["dense_knn"] = (("score_knn", "pairs"), """SELECT p.user_id, p.target, p.vertical, p.item_id, coalesce(s.score, 0) AS score FROM pairs p
+    LEFT JOIN score_knn s ON s.user_id = p.user_id AND s.target = p.target AND s.vertical = p.vertical AND s.item_id = p.item_id""")
 STEPS["paired"] = (("measured_walk_xvert", "measured_popularity"), "SELECT a.*, a.ndcg_at_10 AS x, b.ndcg_at_10 AS y FROM measured_walk_xvert a JOIN measured_popularity b ON a.user_id = b.user_id AND a.target = b.target")
 SLICES = {"all": "true", "cold_in_vertical": "cold_in_vertical", "warm_in_vertical": "NOT cold_in_vertical", "transfer_only": "transfer_only", "single_vertical_user": "NOT cross_vertical_user", "tail_target": "tail_target"}
+_BUCKET = "CAST('0x' || substr(md5(concat_ws('|', {}, '{}', 0)), 1, 7) AS BIGINT) % 200"
+STEPS["replicates"] = (("paired",), f"""WITH sums AS (SELECT {_BUCKET.format('user_id', 'bucket')} AS bucket, count(*) AS n, sum(x - y) AS d, sum(y) AS y FROM paired GROUP BY 1)
+    SELECT CAST(id // 200 AS INTEGER) AS replicate, CAST(sum(n) AS BIGINT) AS n, sum(d) / sum(n) AS delta, sum(y) / sum(n) AS baseline
+    FROM (SELECT id, {_BUCKET.format('id', 'draw')} AS bucket FROM range(100000) t(id)) JOIN sums USING (bucket) GROUP BY 1""")
+STEPS["arms"] = ((), """SELECT treated, count(*) AS n, avg(x) AS mean_x, avg(y) AS mean_y, avg(p) AS mean_p, coalesce(var_samp(x), 0) AS cov_xx, coalesce(var_samp(y), 0) AS cov_yy, coalesce(var_samp(p), 0) AS cov_pp,
+    coalesce(covar_samp(x, y), 0) AS cov_xy, coalesce(covar_samp(x, p), 0) AS cov_xp
+    FROM (SELECT user_id, md5(concat_ws('|', user_id, 'arm', 0)) < '8' AS treated, CAST(count(*) FILTER (event_type = 'click' AND day(ts) > 15) AS DOUBLE) AS x, CAST(count(*) FILTER (event_type = 'view' AND day(ts) > 15) AS DOUBLE) AS y,
+        CAST(count(*) FILTER (event_type = 'click' AND day(ts) <= 15) AS DOUBLE) AS p, bool_or(day(ts) > 15) AS shown FROM events GROUP BY user_id) WHERE shown GROUP BY treated""")
+STEPS["arm_pair"] = (("arms",), """SELECT a.n AS na, b.n AS nb, a.mean_x / a.mean_y AS ra, b.mean_x / b.mean_y AS rb, (a.n + b.n) / 2 AS even, a.mean_x - b.mean_x AS dx, a.mean_p - b.mean_p AS dp,
+    (a.cov_xx - 2 * ra * a.cov_xy + ra * ra * a.cov_yy) / (a.mean_y * a.mean_y * a.n) + (b.cov_xx - 2 * rb * b.cov_xy + rb * rb * b.cov_yy) / (b.mean_y * b.mean_y * b.n) AS error,
+    ((a.n - 1) * a.cov_xp + (b.n - 1) * b.cov_xp) / ((a.n - 1) * a.cov_pp + (b.n - 1) * b.cov_pp) AS theta, a.cov_xx / a.n + b.cov_xx / b.n AS plain,
+    (a.cov_xx - 2 * theta * a.cov_xp + theta * theta * a.cov_pp) / a.n + (b.cov_xx - 2 * theta * b.cov_xp + theta * theta * b.cov_pp) / b.n AS less FROM arms a, arms b WHERE a.treated AND NOT b.treated""")
+STEPS["ratings"] = (("part_items",), """SELECT o_custkey AS user_id, l_partkey AS item_id, vertical, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 86400000 AS timestamp
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part_items ON l_partkey = item_id WHERE CAST(l_quantity / 10 AS FLOAT) >= 4""")
+STEPS["gaps"] = ((), "SELECT user_id, ts, sum(CASE WHEN ts - before < INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)")
+STEPS["spans"] = (("gaps",), "SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM gaps GROUP BY user_id, session")
+_SPANS = "SELECT user_id, strftime(began, '%Y-%m-%d %H:%M:%S.%f') AS began, strftime(ended, '%Y-%m-%d %H:%M:%S.%f') AS ended, n FROM spans"
 _SLICED = "unnest(list_filter([" + ", ".join(f"CASE WHEN {when} THEN '{name}' END" for name, when in SLICES.items()) + "], lambda s: s IS NOT NULL)) AS slice"
 
 
@@ -198,6 +228,34 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
             FROM score_popularity p JOIN score_bridge s ON s.user_id = p.user_id AND s.target = p.target AND s.item_id = p.item_id WINDOW w AS (PARTITION BY p.user_id, p.target, p.vertical)),
         mixed AS (SELECT b.*, a.alpha, round(a.alpha * za + (1 - a.alpha) * zb, 6) AS score FROM joined b SEMI JOIN open_pairs o ON o.user_id = b.user_id AND o.target = b.target AND o.item_id = b.item_id, (VALUES (CAST(0.25 AS DOUBLE)), (CAST(0.75 AS DOUBLE))) a(alpha))
         SELECT user_id, target, alpha, count(*) FILTER (score >= own) AS rank FROM (SELECT *, max(score) FILTER (item_id = target) OVER (PARTITION BY user_id, target, alpha) AS own FROM mixed) GROUP BY ALL"""),
+    "interleaved_slates": (("slates",), "SELECT user_id, target, vertical, item_id, CAST(slot AS INTEGER) AS slot, owner FROM slates"),
+    "interleaved_outcomes": (("slates",), "SELECT user_id, target, vertical, coalesce(max(CASE owner WHEN 'a' THEN 1.0 ELSE -1.0 END) FILTER (item_id = target), 0.0)::DOUBLE AS outcome FROM slates GROUP BY ALL"),
+    "sampled_negatives": (("dense_knn",), """SELECT user_id, target, vertical, item_id, hard FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id, target, vertical ORDER BY hard, draw, item_id) AS easy FROM (
+        SELECT *, best <= 200 AND row_number() OVER (PARTITION BY user_id, target, vertical ORDER BY best > 200, draw, item_id) <= 8 AS hard FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id, target, vertical ORDER BY fused DESC, item_id) AS best, md5(concat_ws('|', user_id, target, vertical, item_id, 0)) AS draw FROM (
+        SELECT *, round((score - avg(score) OVER w) / greatest(stddev_pop(score) OVER w, 1e-8), 10) AS fused FROM dense_knn WINDOW w AS (PARTITION BY user_id, target, vertical)) WHERE item_id <> target)))
+        WHERE hard OR easy <= 16"""),
+    "validation_sample": (("train", "split"), """SELECT user_id, target, vertical, hist_len FROM (
+        SELECT s.user_id, s.item_id AS target, s.vertical, h.n AS hist_len, row_number() OVER (PARTITION BY s.vertical ORDER BY md5(concat_ws('|', s.user_id, s.item_id, s.vertical, 0)), s.user_id, s.item_id) AS place
+        FROM split s JOIN (SELECT user_id, count(*) AS n FROM train GROUP BY 1) h ON h.user_id = s.user_id WHERE s.part = 'val') WHERE place <= 100"""),
+    "bootstrap_replicates": (("replicates",), "SELECT replicate, n, round(delta, 8) AS delta, round(baseline, 8) AS baseline FROM replicates"),
+    "bootstrap_interval": (("replicates",), """SELECT count(*) AS n_replicates, round(quantile_cont(delta, 0.025), 8) AS ci_low, round(quantile_cont(delta, 0.975), 8) AS ci_high,
+        round(least(1.0, 2 * least(avg(CASE WHEN delta <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN delta >= 0 THEN 1.0 ELSE 0.0 END))), 8)::DOUBLE AS p_value,
+        round(quantile_cont(100 * delta / baseline, 0.025) FILTER (baseline > 0), 5) AS rel_ci_low, round(quantile_cont(100 * delta / baseline, 0.975) FILTER (baseline > 0), 5) AS rel_ci_high,
+        quantile_cont(delta, 0.025) > 0 OR quantile_cont(delta, 0.975) < 0 AS significant FROM replicates"""),
+    "rating_log": (("ratings",), "SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, vertical, timestamp FROM ratings"),
+    "rating_cohort": (("ratings",), """WITH touched AS (SELECT user_id, count(DISTINCT vertical) >= 2 AS several FROM ratings GROUP BY 1),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY several ORDER BY md5(concat_ws('|', user_id, 0)), CAST(user_id AS VARCHAR)) AS place FROM touched),
+        cohort AS (SELECT * FROM ratings WHERE user_id IN (SELECT user_id FROM placed WHERE place <= CASE WHEN several THEN 60 ELSE 20 END))
+        SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, vertical, timestamp FROM cohort WHERE item_id IN (SELECT item_id FROM cohort GROUP BY 1 HAVING count(*) >= 2)"""),
+    "split_test_arms": (("arms",), "SELECT treated, n, " + ", ".join(f"round({c}, 8) AS {c}" for c in ("mean_x", "mean_y", "mean_p", "cov_xx", "cov_yy", "cov_pp", "cov_xy", "cov_xp")) + " FROM arms"),
+    "split_test_result": (("arm_pair",), """SELECT na AS n_treated, nb AS n_control, round(((na - even) * (na - even) + (nb - even) * (nb - even)) / even, 8) AS chi_square, round(ra, 8) AS ratio_treated, round(rb, 8) AS ratio_control, round(ra - rb, 8) AS lift,
+        round(ra - rb - 1.959963984540054 * sqrt(error), 8) AS ci_low, round(ra - rb + 1.959963984540054 * sqrt(error), 8) AS ci_high, abs(ra - rb) > 1.959963984540054 * sqrt(error) AS significant,
+        round(dx - theta * dp, 8) AS adjusted_delta, round(sqrt(less), 8) AS adjusted_se, round(1 - less / plain, 8) AS variance_removed FROM arm_pair"""),
+    "event_sessions": (("spans",), _SPANS),
+    "stream_sessions": (("spans",), _SPANS + " WHERE ended <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"),
+    "daily_popularity": ((), "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS vertical, event_type || ':' || json_extract_string(props, '$.k') AS item_id, count(*) AS n FROM events GROUP BY ALL"),
     "sequence_pairs": (("train",), "SELECT user_id, item_id, next_item FROM (SELECT user_id, item_id, lead(item_id) OVER (PARTITION BY user_id ORDER BY ts, session_id, line, item_id) AS next_item FROM train) WHERE next_item IS NOT NULL"),
     "last_n_history": (("train",), """SELECT user_id, string_agg(item_id || '@' || vertical, ' ' ORDER BY back DESC) AS history FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, session_id DESC, line DESC, item_id DESC) AS n FROM train) WHERE n <= 5 GROUP BY 1"""),
     "stream_split": ((), """WITH e AS (SELECT user_id, event_type || ':' || json_extract_string(props, '$.k') AS item_id, event_type AS vertical, ts, event_id FROM events),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumora.functions.draws import digest
 from lumora.operators.split import frequent
 from lumora.schema import RATINGS
 
@@ -29,8 +30,8 @@ def read_ratings(spark: SparkSession, paths: dict[str, str], min_rating: float =
 
 
 def sampled_users(events: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """events of n users, those with the smallest hash of user and seed: the same ones each time."""
-    users = events.select("user_id").distinct().orderBy(F.xxhash64("user_id", F.lit(seed)), "user_id").limit(n)
+    """events of n users, the first by a digest of user and seed: the same ones each time."""
+    users = events.select("user_id").distinct().orderBy(digest("user_id", seed=seed), "user_id").limit(n)
     return events.join(users, "user_id", "left_semi")
 
 
@@ -40,3 +41,9 @@ def cross_vertical_cohort(events: DataFrame, n_cross: int = 22_000, n_single: in
     picked = [events.join(touched.where(F.col("n") >= 2), "user_id", "left_semi"), events.join(touched.where(F.col("n") == 1), "user_id", "left_semi")]
     cohort = sampled_users(picked[0], n_cross, seed).unionByName(sampled_users(picked[1], n_single, seed))
     return frequent(cohort, "item_id", min_item_count)
+
+
+def write_ratings(ratings: DataFrame, folder: str) -> dict[str, str]:
+    """Writes ratings(vertical, user_id, parent_asin, rating, timestamp, ...) as CSV files with a header; the paths by vertical."""
+    ratings.write.partitionBy("vertical").option("header", True).csv(folder)
+    return {r.vertical: f"{folder}/vertical={r.vertical}" for r in ratings.select("vertical").distinct().collect()}  # verticals are few

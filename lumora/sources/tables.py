@@ -23,13 +23,23 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), vertical.alias("vertical"), F.concat(vertical, F.lit(":"), "p_brand").alias("category"), band.alias("price_band"))
 
 
-def order_events(spark: SparkSession, sf_dir: str, min_quantity: float = POSITIVE_QUANTITY) -> DataFrame:
-    """events(user_id, item_id, vertical, ts, session_id, tiebreak) of the positive order lines."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= min_quantity).select("l_orderkey", "l_linenumber", "l_partkey")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their order and item."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     items = order_items(spark, sf_dir).select("item_id", "vertical")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(items, F.col("l_partkey") == F.col("item_id"))
-    return joined.select(F.col("o_custkey").alias("user_id"), "item_id", "vertical", F.col("o_orderdate").alias("ts"), F.col("l_orderkey").alias("session_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("tiebreak"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(items, F.col("l_partkey") == F.col("item_id"))
+
+
+def order_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ratings(vertical, user_id, parent_asin, rating, timestamp, title) of all order lines: a tenth of the quantity, at the order's day."""
+    day = F.datediff("o_orderdate", F.lit("1970-01-01")).cast("long") * 86_400_000
+    return _lines(spark, sf_dir).select("vertical", F.col("o_custkey").alias("user_id"), F.col("item_id").alias("parent_asin"), (F.col("l_quantity") / 10).alias("rating"), day.alias("timestamp"), F.lit("unread").alias("title"))
+
+
+def order_events(spark: SparkSession, sf_dir: str, min_quantity: float = POSITIVE_QUANTITY) -> DataFrame:
+    """events(user_id, item_id, vertical, ts, session_id, tiebreak) of the positive order lines."""
+    return _lines(spark, sf_dir).where(F.col("l_quantity") >= min_quantity).select(F.col("o_custkey").alias("user_id"), "item_id", "vertical", F.col("o_orderdate").alias("ts"), F.col("l_orderkey").alias("session_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("tiebreak"))
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
