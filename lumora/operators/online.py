@@ -1,4 +1,5 @@
-"""A split test simulated on a generated log, whose true utilities are known."""
+"""Split tests of slates: rows of logged slates and their clicks, or, as a check of the whole loop, slates served on a generated log whose true
+utilities are known."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumora.functions.stats import resampled_means, sample_size, two_sided
 from lumora.operators.evaluate import KEY
+from lumora.session import cut
 from lumora.sources.simulator import Log, click_probability, uniform, utility
 
 
@@ -23,8 +25,15 @@ def serve(top_a: DataFrame, top_b: DataFrame, log: Log, k: int = 10, seed: int =
 
 
 def split_test(top_a: DataFrame, top_b: DataFrame, log: Log, k: int = 10, seed: int = 0, daily_users: int = 200_000) -> dict:
-    """a (treatment) against b (control) by clicks over k, unpaired; from counts of equal click numbers."""
-    served = serve(top_a, top_b, log, k, seed).cache()
+    """a (treatment) against b (control) on a generated log."""
+    return {"method": "simulated split test"} | slate_test(cut(serve(top_a, top_b, log, k, seed)), k, seed, daily_users)
+
+
+def slate_test(served: DataFrame, k: int = 10, seed: int = 0, daily_users: int = 200_000) -> dict:
+    """The treated slates against the others by clicks over k, unpaired: served(treated, clicks, slate_utility or not), a row a slate.
+
+    What reaches the driver are the numbers of slates by arm and clicks, k + 1 an arm.
+    """
     counts = served.groupBy("treated", "clicks").agg(F.count("*").alias("n")).collect()
     arms = {}
     for arm in (True, False):
@@ -37,10 +46,11 @@ def split_test(top_a: DataFrame, top_b: DataFrame, log: Log, k: int = 10, seed:
     interval = two_sided(resampled_means(*arms[True], seed=seed) - resampled_means(*arms[False], seed=seed + 1), lift)
     values, sizes = (np.concatenate([arms[True][i], arms[False][i]]) for i in (0, 1))
     pooled = float(np.sqrt(np.average((values - np.average(values, weights=sizes)) ** 2, weights=sizes)))
-    worth = {r.treated: r.u for r in served.groupBy("treated").agg(F.avg("slate_utility").alias("u")).collect()}
+    known = F.avg("slate_utility") if "slate_utility" in served.columns else F.lit(None)
+    worth = {r.treated: r.u for r in served.groupBy("treated").agg(known.alias("u")).collect()}
     needed = sample_size(lift, pooled)
     return {
-        "method": "simulated split test", "metric": f"ctr_at_{k}", "control_mean": means[False], "treatment_mean": means[True], "abs_lift": lift, "rel_lift_pct": 100 * lift / means[False] if means[False] > 0 else float("nan"),
+        "metric": f"ctr_at_{k}", "control_mean": means[False], "treatment_mean": means[True], "abs_lift": lift, "rel_lift_pct": 100 * lift / means[False] if means[False] > 0 else float("nan"),
         "ci_low": interval.low, "ci_high": interval.high, "p_value": interval.p_value, "significant": interval.significant, "n_units": int(sizes.sum()), "required_n_per_arm": needed,
         "days_to_significance": round(2 * needed / daily_users, 2) if needed > 0 else None, "slate_utility_control": worth.get(False), "slate_utility_treatment": worth.get(True),
     }

@@ -11,19 +11,20 @@ from lumora.operators.evaluate import KEY
 HARD_POOL = 200  # fused candidates that hard negatives are drawn from
 
 
-def negatives(scored: DataFrame, fused: Column, n_hard: int, n_easy: int, pool: int = HARD_POOL, seed: int = 0) -> DataFrame:
-    """The drawn candidates of each row of scored (the key, item_id, ...), with the column hard; never the target.
+def negatives(scored: DataFrame, fused: Column, n_hard: int, n_easy: int, pool: int = HARD_POOL, seed: int = 0, targets: bool = False) -> DataFrame:
+    """The drawn candidates of each row of scored (the key, item_id, ...), with the column hard; with `targets` the target too, hard null.
 
     n_hard of the `pool` best by `fused` (ties by item), then n_easy of all others; both in the order of a digest of row and item.
     A row with fewer candidates gives what it has. One shuffle by row serves all orders.
     """
     row, draw = Window.partitionBy(*KEY), digest(*KEY, "item_id", seed=seed)
-    df = scored.withColumn("_fused", F.round(fused, 10)).where("item_id <> target").withColumn("_draw", draw)
-    df = df.withColumn("_best", F.row_number().over(row.orderBy(F.desc("_fused"), "item_id")))
-    df = df.withColumn("_hard", F.row_number().over(row.orderBy(F.col("_best") > pool, "_draw", "item_id")))
-    df = df.withColumn("hard", (F.col("_hard") <= n_hard) & (F.col("_best") <= pool))
-    df = df.withColumn("_easy", F.row_number().over(row.orderBy("hard", "_draw", "item_id")))
-    return df.where(F.col("hard") | ((F.col("_easy") <= n_easy) & ~F.col("hard"))).drop("_fused", "_draw", "_best", "_hard", "_easy")
+    df = scored.withColumns({"_target": F.col("item_id") == F.col("target"), "_fused": F.round(fused, 10), "_draw": draw})
+    df = df.withColumn("_best", F.row_number().over(row.orderBy("_target", F.desc("_fused"), "item_id")))
+    df = df.withColumn("_hard", F.row_number().over(row.orderBy("_target", F.col("_best") > pool, "_draw", "item_id")))
+    df = df.withColumn("hard", F.when(~F.col("_target"), (F.col("_hard") <= n_hard) & (F.col("_best") <= pool)))
+    df = df.withColumn("_easy", F.row_number().over(row.orderBy("_target", "hard", "_draw", "item_id")))
+    drawn = F.col("hard") | (~F.col("hard") & (F.col("_easy") <= n_easy))
+    return df.where(drawn | F.col("_target") if targets else drawn).drop("_target", "_fused", "_draw", "_best", "_hard", "_easy")
 
 
 def rows_by_vertical(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:

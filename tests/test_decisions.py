@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumora.functions.draws import bucket, coin, digest
 from lumora.functions.stats import bootstrap
 from lumora.operators import compare, evaluate, exposure, sampling
+from lumora.operators.online import slate_test
 from lumora.plans import registry
 from lumora.sources.ratings import read_ratings, write_ratings
 from lumora.streaming.sessions import drained, files_as_stream, live_popularity
@@ -74,6 +75,12 @@ def test_negatives(spark):
     assert sampling.negatives(frame.limit(0), F.col("score"), 3, 5).count() == 0
 
 
+def test_negatives_with_targets(spark):
+    frame = spark.createDataFrame([(1, 3, "v", i, float(i)) for i in range(6)], SCORED)
+    found = sampling.negatives(frame, F.col("score"), 2, 1, pool=3, targets=True).collect()
+    assert [r.item_id for r in found if r.hard is None] == [3] and len(found) == 4 and {r.item_id for r in found if r.hard} < {2, 4, 5}
+
+
 def test_rows_by_vertical(spark):
     rows = spark.range(1000).selectExpr("id as user_id", "id % 5 as target", "if(id % 3 = 0, 'a', if(id < 4, 'b', 'c')) as vertical")
     found = sampling.rows_by_vertical(rows, 20, seed=1)
@@ -173,6 +180,14 @@ def test_split_test_edge_cases(spark):
     assert none.ratio_treated is None and none.chi_square == 0
 
 
+def test_logged_slates(spark):
+    rows = [(u, u % 2 == 0, 3 if u % 2 == 0 and u % 3 else 1) for u in range(600)]
+    found = slate_test(spark.createDataFrame(rows, "user_id long, treated boolean, clicks int"), k=10)
+    assert found["treatment_mean"] == pytest.approx(np.mean([c for _, t, c in rows if t]) / 10) and found["control_mean"] == pytest.approx(0.1)
+    assert found["significant"] and found["n_units"] == 600 and found["slate_utility_control"] is None
+    assert slate_test(spark.createDataFrame(rows[:1], "user_id long, treated boolean, clicks int"))["error"]
+
+
 def test_rating_files(spark, tmp_path):
     rows = [("a", "u", "i", 4.0, 1_700_000_000_000, "x"), ("a", "u", "j", 3.9, 1, "x"), ("b", "w", "i", 5.0, 2, None)]
     frame = spark.createDataFrame(rows, "vertical string, user_id string, parent_asin string, rating double, timestamp long, title string")
