@@ -40,10 +40,9 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = with_rows(docs)
     groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle=5, num=80, den=100)
     groups = cut(groups.select(F.col("doc_id").alias("_row"), "component_id"))
-    shared = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
-    members = rows.select("doc_id", "_row").join(groups.join(shared, "component_id"), "_row")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("first"))
-    gone = cut(members.join(first, "component_id").where("_row <> first").select("_row"))
+    members = rows.select("doc_id", "_row").join(groups, "_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    gone = cut(members.select("_row").join(first.select("_row"), "_row", "left_anti"))  # by row: a large group isn't joined by its component
     return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
