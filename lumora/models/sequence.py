@@ -1,4 +1,4 @@
-"""A self-attentive sequence model, reduced to one block and one head, trained in rounds over all histories."""
+"""A self-attentive sequence model of one block, trained in rounds over all histories."""
 
 from __future__ import annotations
 
@@ -21,20 +21,27 @@ REPLICA_EVENTS = 1 << 17  # events of a replica's histories, about
 ROUNDS = 4
 
 
-def attend(p: dict[str, np.ndarray], items: np.ndarray, verticals: np.ndarray):
-    """(representation of the last position, what its gradient needs) of left-padded histories [n, length]; item 0 is padding."""
+def _by_head(x: np.ndarray, heads: int) -> np.ndarray:
+    return x.reshape(*x.shape[:-1], heads, -1)
+
+
+def attend(p: dict[str, np.ndarray], items: np.ndarray, verticals: np.ndarray, heads: int = 1):
+    """(representation of the last position, what its gradient needs) of left-padded histories [n, length]; item 0 is padding.
+
+    Each head attends by its own share of the components.
+    """
     x = p["E"][items] + p["P"][None, -items.shape[1] :] + p["V"][verticals]
-    q, k, v = x[:, -1] @ p["Wq"], x @ p["Wk"], x @ p["Wv"]
-    a = np.einsum("nd,nld->nl", q, k) / np.sqrt(q.shape[1])
-    a = np.exp(a - a.max(axis=1, keepdims=True)) * (items > 0)
+    q, k, v = (_by_head(z, heads) for z in (x[:, -1] @ p["Wq"], x @ p["Wk"], x @ p["Wv"]))
+    a = np.einsum("nhd,nlhd->nlh", q, k) / np.sqrt(q.shape[2])
+    a = np.exp(a - a.max(axis=1, keepdims=True)) * (items > 0)[:, :, None]
     a /= np.maximum(a.sum(axis=1, keepdims=True), 1e-9)
-    return x[:, -1] + np.einsum("nl,nld->nd", a, v), (x, q, k, v, a)
+    return x[:, -1] + np.einsum("nlh,nlhd->nhd", a, v).reshape(len(x), -1), (x, q, k, v, a)
 
 
-def gradients(p: dict[str, np.ndarray], items: np.ndarray, verticals: np.ndarray, right: np.ndarray, wrong: np.ndarray):
+def gradients(p: dict[str, np.ndarray], items: np.ndarray, verticals: np.ndarray, right: np.ndarray, wrong: np.ndarray, heads: int = 1):
     """(mean loss, gradients) of log-sigmoid scores of the next item and of one that isn't."""
-    h, (x, q, k, v, a) = attend(p, items, verticals)
-    n, root = len(h), np.sqrt(q.shape[1])
+    h, (x, q, k, v, a) = attend(p, items, verticals, heads)
+    n, root = len(h), np.sqrt(q.shape[2])
     good, bad = (h * p["E"][right]).sum(axis=1), (h * p["E"][wrong]).sum(axis=1)
     loss = (np.logaddexp(0, -good) + np.logaddexp(0, bad)).mean()
     dg, db = -1 / (1 + np.exp(good)) / n, 1 / (1 + np.exp(-bad)) / n
@@ -42,9 +49,10 @@ def gradients(p: dict[str, np.ndarray], items: np.ndarray, verticals: np.ndarray
     np.add.at(g["E"], right, dg[:, None] * h)
     np.add.at(g["E"], wrong, db[:, None] * h)
     dh = dg[:, None] * p["E"][right] + db[:, None] * p["E"][wrong]
-    da, dv = np.einsum("nd,nld->nl", dh, v), a[:, :, None] * dh[:, None]
+    of_head = _by_head(dh, heads)
+    da, dv = np.einsum("nhd,nlhd->nlh", of_head, v), (a[..., None] * of_head[:, None]).reshape(x.shape)
     ds = a * (da - (a * da).sum(axis=1, keepdims=True)) / root
-    dq, dk = np.einsum("nl,nld->nd", ds, k), ds[:, :, None] * q[:, None]
+    dq, dk = np.einsum("nlh,nlhd->nhd", ds, k).reshape(n, -1), (ds[..., None] * q[:, None]).reshape(x.shape)
     dx = dk @ p["Wk"].T + dv @ p["Wv"].T
     dx[:, -1] += dh + dq @ p["Wq"].T
     g["Wq"], g["Wk"], g["Wv"] = x[:, -1].T @ dq, np.einsum("nld,nle->de", x, dk), np.einsum("nld,nle->de", x, dv)
@@ -76,9 +84,11 @@ class Attention(Recommender):
 
     dense = True
 
-    def __init__(self, d: int = 32, max_len: int = 50, lr: float = 0.01, epochs: int = 8, batch: int = 256, use_vertical: bool = True, stale: bool = True, seed: int = 0, replica_events: int = REPLICA_EVENTS):
+    def __init__(self, d: int = 32, max_len: int = 50, lr: float = 0.01, epochs: int = 8, batch: int = 256, use_vertical: bool = True, stale: bool = True, seed: int = 0, replica_events: int = REPLICA_EVENTS, n_heads: int = 1):
+        if d % n_heads:
+            raise ValueError(f"{n_heads} heads can't share {d} components evenly")
         self.d, self.length, self.lr, self.epochs, self.batch, self.vertical, self.stale, self.seed = d, max_len, lr, epochs, batch, use_vertical, stale, seed
-        self.replica_events = replica_events
+        self.replica_events, self.heads = replica_events, n_heads
 
     @property
     def family(self) -> str:
@@ -114,7 +124,7 @@ class Attention(Recommender):
         return self
 
     def _trainer(self, turn: int, epochs: int):
-        length, lr, size, seed, verticals = self.length, self.lr, self.batch, self.seed, pa.array(self.verticals, pa.string())
+        length, heads, lr, size, seed, verticals = self.length, self.heads, self.lr, self.batch, self.seed, pa.array(self.verticals, pa.string())
         dense = self.p
 
         def train(table: pa.Table) -> pa.Table:
@@ -134,7 +144,7 @@ class Attention(Recommender):
                 for lo in range(0, len(order), size):
                     end = order[lo : lo + size]
                     at = windows(starts[end], end, length)
-                    _, g = gradients(p, known[at], kinds[at], known[end + 1], rng.integers(1, len(items) + 1, len(end)))
+                    _, g = gradients(p, known[at], kinds[at], known[end + 1], rng.integers(1, len(items) + 1, len(end)), heads)
                     step += 1
                     for k in p:
                         m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.98 * s[k] + 0.02 * g[k] ** 2
@@ -162,7 +172,7 @@ class Attention(Recommender):
         blank = F.array(*[F.lit(0.0)] * self.d)
         entry = F.struct("at", F.col("v").isNotNull().alias("known"), F.col("event.vertical").alias("kind"), F.coalesce("v", blank).alias("v"))
         grouped = events.groupBy(*KEY).agg(F.sort_array(F.collect_list(entry)).alias("events"))
-        length, dense, verticals = self.length, self.p, pa.array(self.verticals, pa.string())
+        length, heads, dense, verticals = self.length, self.heads, self.p, pa.array(self.verticals, pa.string())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -173,7 +183,7 @@ class Attention(Recommender):
                 at = windows(np.append(0, ends)[:-1], ends, length)
                 known = np.append(False, events.field("known").to_numpy(zero_copy_only=False))
                 kinds = np.append(0, pc.index_in(events.field("kind"), value_set=verticals).fill_null(-1).to_numpy() + 1)
-                h, _ = attend(p, np.where(known[at], at, 0), kinds[at])
+                h, _ = attend(p, np.where(known[at], at, 0), kinds[at], heads)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array(list(h), pa.list_(pa.float64()))], [*KEY, "h"])
 
         types = dict(rows.dtypes)

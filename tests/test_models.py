@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumora.models.catalog import build
 from lumora.models.factor import PairwiseFactors
 from lumora.models.rounds import averaged, shares
-from lumora.models.sequence import Attention, windows
+from lumora.models.sequence import Attention, attend, gradients, windows
 from lumora.models.walk import attributes
 from lumora.operators.dataset import Dataset
 from lumora.sources.catalog import load
@@ -103,3 +103,44 @@ def test_categories_of_rating_files(spark, tmp_path):
     assert {(item[0], c) for item, (_, c) in found.items()} == {("x", "c0"), ("x", "c1"), ("y", "c2"), ("y", "c3")}
     assert len({(item[:2], c) for item, (_, c) in found.items()}) == 4
     assert {r.attribute.split("=")[0] for r in attributes(data).collect()} == {"category", "vertical"}
+
+
+def test_gradients_of_two_heads():
+    rng = np.random.default_rng(3)
+    shapes = {"E": (7, 6), "P": (4, 6), "V": (3, 6), "Wq": (6, 6), "Wk": (6, 6), "Wv": (6, 6)}
+    p = {k: rng.normal(0, 0.5, shape) for k, shape in shapes.items()}
+    p["E"][0] = 0
+    items, kinds = np.array([[0, 1, 2, 3], [4, 5, 4, 6], [0, 0, 0, 2]]), np.array([[0, 1, 2, 1], [2, 2, 1, 1], [0, 0, 0, 2]])
+    right, wrong = np.array([5, 1, 3]), np.array([6, 6, 1])
+    _, g = gradients(p, items, kinds, right, wrong, heads=2)
+    for name, w in p.items():
+        for at in np.ndindex(*w.shape):
+            if name == "E" and at[0] == 0:
+                continue  # padding isn't learnt
+            loss = []
+            for step in (1e-5, -1e-5):
+                w[at] += step
+                loss.append(gradients(p, items, kinds, right, wrong, heads=2)[0])
+                w[at] -= step
+            assert g[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=1e-7)
+
+
+def test_each_head_attends_by_its_own_components():
+    rng = np.random.default_rng(4)
+    p = {k: rng.normal(0, 0.5, shape) for k, shape in {"E": (5, 6), "P": (3, 6), "V": (2, 6), "Wq": (6, 6), "Wk": (6, 6), "Wv": (6, 6)}.items()}
+    items, kinds = np.array([[0, 1, 4]]), np.array([[0, 1, 1]])
+    x = (p["E"][items] + p["P"] + p["V"][kinds])[0]
+    want = x[-1].copy()
+    for part in (slice(0, 3), slice(3, 6)):
+        q, k, v = x[-1] @ p["Wq"][:, part], x[1:] @ p["Wk"][:, part], x[1:] @ p["Wv"][:, part]
+        a = np.exp(k @ q / np.sqrt(3))
+        want[part] += a / a.sum() @ v
+    assert np.allclose(attend(p, items, kinds, heads=2)[0][0], want)
+    with pytest.raises(ValueError, match="share 6 components"):
+        Attention(d=6, n_heads=4)
+
+
+def test_two_heads_in_replicas(spark, camps):
+    model = Attention(d=8, max_len=4, epochs=24, batch=16, stale=False, replica_events=60, n_heads=2).fit(camps)
+    assert model.embeddings.count() == 12
+    assert own_camp(model, camps.eval_rows()) > 0.9
