@@ -12,7 +12,7 @@ from lumora.models.walk import GraphWalk
 
 KINDS = {
     "popularity": Popularity, "item_knn": ItemNeighbours, "bpr_mf": PairwiseFactors, "als": LeastSquaresFactors, "graph_walk": GraphWalk, "cross_vertical_bridge": CategoryBridge,
-    "sasrec": lambda **p: Attention(**{"n_heads": 2, **p}), "sasrec_session": lambda **p: Attention(**{"n_heads": 2, **p, "stale": False}), "two_stage": TwoStage,
+    "sasrec": Attention, "sasrec_session": lambda **p: Attention(**{**p, "stale": False}), "two_stage": TwoStage,
 }
 
 

@@ -1,4 +1,4 @@
-"""A self-attentive sequence model of one block, trained in rounds over all histories."""
+"""A self-attentive sequence model, trained in rounds over all histories."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumora.models.base import Recommender
 from lumora.models.rounds import averaged, drawn, shares
+from lumora.models.transformer import AdamW, encode, gradients, initial
 from lumora.operators.dataset import Dataset
 from lumora.operators.evaluate import KEY, expand
 from lumora.operators.split import last_n
@@ -19,48 +20,7 @@ from lumora.session import cut, ship
 
 REPLICA_EVENTS = 1 << 17  # events of a replica's histories, about
 ROUNDS = 4
-
-
-def _by_head(x: np.ndarray, heads: int) -> np.ndarray:
-    return x.reshape(*x.shape[:-1], heads, -1)
-
-
-def attend(p: dict[str, np.ndarray], items: np.ndarray, verticals: np.ndarray, heads: int = 1):
-    """(representation of the last position, what its gradient needs) of left-padded histories [n, length]; item 0 is padding.
-
-    Each head attends by its own share of the components.
-    """
-    x = p["E"][items] + p["P"][None, -items.shape[1] :] + p["V"][verticals]
-    q, k, v = (_by_head(z, heads) for z in (x[:, -1] @ p["Wq"], x @ p["Wk"], x @ p["Wv"]))
-    a = np.einsum("nhd,nlhd->nlh", q, k) / np.sqrt(q.shape[2])
-    a = np.exp(a - a.max(axis=1, keepdims=True)) * (items > 0)[:, :, None]
-    a /= np.maximum(a.sum(axis=1, keepdims=True), 1e-9)
-    return x[:, -1] + np.einsum("nlh,nlhd->nhd", a, v).reshape(len(x), -1), (x, q, k, v, a)
-
-
-def gradients(p: dict[str, np.ndarray], items: np.ndarray, verticals: np.ndarray, right: np.ndarray, wrong: np.ndarray, heads: int = 1):
-    """(mean loss, gradients) of log-sigmoid scores of the next item and of one that isn't."""
-    h, (x, q, k, v, a) = attend(p, items, verticals, heads)
-    n, root = len(h), np.sqrt(q.shape[2])
-    good, bad = (h * p["E"][right]).sum(axis=1), (h * p["E"][wrong]).sum(axis=1)
-    loss = (np.logaddexp(0, -good) + np.logaddexp(0, bad)).mean()
-    dg, db = -1 / (1 + np.exp(good)) / n, 1 / (1 + np.exp(-bad)) / n
-    g = {name: np.zeros_like(w) for name, w in p.items()}
-    np.add.at(g["E"], right, dg[:, None] * h)
-    np.add.at(g["E"], wrong, db[:, None] * h)
-    dh = dg[:, None] * p["E"][right] + db[:, None] * p["E"][wrong]
-    of_head = _by_head(dh, heads)
-    da, dv = np.einsum("nhd,nlhd->nlh", of_head, v), (a[..., None] * of_head[:, None]).reshape(x.shape)
-    ds = a * (da - (a * da).sum(axis=1, keepdims=True)) / root
-    dq, dk = np.einsum("nlh,nlhd->nhd", ds, k).reshape(n, -1), (ds[..., None] * q[:, None]).reshape(x.shape)
-    dx = dk @ p["Wk"].T + dv @ p["Wv"].T
-    dx[:, -1] += dh + dq @ p["Wq"].T
-    g["Wq"], g["Wk"], g["Wv"] = x[:, -1].T @ dq, np.einsum("nld,nle->de", x, dk), np.einsum("nld,nle->de", x, dv)
-    np.add.at(g["E"], items, dx)
-    np.add.at(g["V"], verticals, dx)
-    g["P"][-items.shape[1] :] = dx.sum(axis=0)
-    g["E"][0] = 0
-    return loss, g
+ENCODED = 512  # histories encoded at a time
 
 
 def windows(starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -76,7 +36,8 @@ def _packed(p: dict[str, np.ndarray]) -> np.ndarray:
 class Attention(Recommender):
     """score = representation of the history . item embedding. stale leaves out each user's newest train event, as a representation
     does that was made before it; the session variant encodes all of them, and after them the items of a column session_prefix, where the
-    rows have one. Users without a history score 0, items without train events -1e6.
+    rows have one; unknown items in it are left out. Users without a history score 0, items without train events -1e6.
+    The network is transformer.py's; training asks each position for the next item, a batch being so many histories.
 
     Each round deals the users to replicas by hash; a replica gets its histories and their items' embeddings, draws its negatives from
     those items and trains; embeddings are averaged by their events, the other weights by the replicas' examples.
@@ -84,11 +45,14 @@ class Attention(Recommender):
 
     dense = True
 
-    def __init__(self, d: int = 32, max_len: int = 50, lr: float = 0.01, epochs: int = 8, batch: int = 256, use_vertical: bool = True, stale: bool = True, seed: int = 0, replica_events: int = REPLICA_EVENTS, n_heads: int = 1):
+    def __init__(
+        self, d: int = 64, max_len: int = 50, lr: float = 0.001, epochs: int = 12, batch: int = 256, use_vertical: bool = True, stale: bool = True, seed: int = 0,
+        replica_events: int = REPLICA_EVENTS, n_heads: int = 2, n_blocks: int = 2, dropout: float = 0.2, weight_decay: float = 1e-5,
+    ):
         if d % n_heads:
             raise ValueError(f"{n_heads} heads can't share {d} components evenly")
         self.d, self.length, self.lr, self.epochs, self.batch, self.vertical, self.stale, self.seed = d, max_len, lr, epochs, batch, use_vertical, stale, seed
-        self.replica_events, self.heads = replica_events, n_heads
+        self.replica_events, self.heads, self.blocks, self.dropout, self.decay = replica_events, n_heads, n_blocks, dropout, weight_decay
 
     @property
     def family(self) -> str:
@@ -103,11 +67,10 @@ class Attention(Recommender):
         ship(data.seen.sparkSession)
         self.verticals = sorted(r.vertical for r in data.train.select("vertical").distinct().collect() if r.vertical is not None) if self.vertical else []
         histories = cut(last_n(data.train, self.length + 1))
-        items = cut(data.seen.select("item_id").distinct().select("item_id", drawn("item_id", self.d, 0.1, self.seed).alias("v")))
+        items = cut(data.seen.select("item_id").distinct().select("item_id", drawn("item_id", self.d, 0.02, self.seed).alias("v")))
         n_replicas = -(-(histories.agg(F.sum(F.size("history"))).first()[0] or 0) // self.replica_events) or 1
         rng = np.random.default_rng(self.seed)
-        shapes = {"P": (self.length, self.d), "V": (len(self.verticals) + 1, self.d), **{w: (self.d, self.d) for w in ("Wq", "Wk", "Wv")}}
-        self.p = {k: rng.normal(0, 0.1, shape) for k, shape in shapes.items()}
+        self.p = {k: rng.normal(0, 0.02, (size, self.d)) for k, size in (("P", self.length), ("V", len(self.verticals) + 1))} | initial(self.d, self.blocks, rng)
         for turn, epochs in enumerate(shares(self.epochs, ROUNDS)):
             replica = F.pmod(F.xxhash64("user_id", F.lit(self.seed + turn)), F.lit(n_replicas)).alias("replica")
             asked = histories.select(replica, F.xxhash64("user_id").alias("place"), "history", F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("array<double>").alias("v"))
@@ -115,17 +78,30 @@ class Attention(Recommender):
             rows = asked.unionByName(needed.select("replica", F.lit(None).cast("long").alias("place"), F.lit(None).cast(asked.schema["history"].dataType).alias("history"), "item_id", "v"))
             found = cut(rows.groupBy("replica").applyInArrow(self._trainer(turn, epochs), f"item_id {kind}, weight double, v array<double>"))
             items = cut(averaged(found.where("item_id is not null"), "item_id", self.d))
-            weights = found.where("item_id is null").select("weight", F.posexplode("v").alias("at", "x")).groupBy("at")
-            mean = {r["at"]: r["x"] for r in weights.agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x")).collect()}  # a row for each weight of the model
-            flat, at = np.array([mean[k] for k in range(len(mean))]), 0
-            for k in sorted(self.p) if len(flat) else ():
-                self.p[k], at = flat[at : at + self.p[k].size].reshape(shapes[k]), at + self.p[k].size
+            self._take(found.where("item_id is null").select("weight", "v"))
         self.embeddings = items
         return self
 
+    def _take(self, found: DataFrame) -> None:
+        """The replicas' weights become their mean: each task adds up its own, and the driver gets one value for each weight of the model."""
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weight, total = 0.0, 0.0
+            for batch in batches:
+                for w, v in zip(batch.column("weight").to_numpy(), batch.column("v")):
+                    weight, total = weight + w, total + w * v.values.to_numpy()
+            if weight:
+                yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total], pa.list_(pa.float64()))], ["weight", "v"])
+
+        sums = found.mapInArrow(partial, "weight double, v array<double>").select("weight", F.posexplode("v").alias("at", "x"))
+        mean = sums.groupBy("at").agg((F.sum("x") / F.sum("weight")).alias("x")).toArrow().sort_by("at")["x"].to_numpy()
+        at = 0
+        for k in sorted(self.p) if len(mean) else ():
+            self.p[k], at = mean[at : at + self.p[k].size].reshape(self.p[k].shape), at + self.p[k].size
+
     def _trainer(self, turn: int, epochs: int):
         length, heads, lr, size, seed, verticals = self.length, self.heads, self.lr, self.batch, self.seed, pa.array(self.verticals, pa.string())
-        dense = self.p
+        dense, dropout, decay = self.p, self.dropout, self.decay
 
         def train(table: pa.Table) -> pa.Table:
             table = table.combine_chunks()
@@ -134,25 +110,26 @@ class Attention(Recommender):
             known = np.append(0, pc.index_in(events.field("item_id"), value_set=items["item_id"].combine_chunks()).to_numpy() + 1)
             kinds = np.append(0, pc.index_in(events.field("vertical"), value_set=verticals).fill_null(-1).to_numpy() + 1)
             sizes = pc.list_value_length(asked["history"]).to_numpy()
-            starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-            ends = np.flatnonzero(np.arange(len(starts)) > starts)  # every event but a history's first is once the one to find
-            p = {**{k: w.copy() for k, w in dense.items()}, "E": np.vstack([np.zeros(dense["P"].shape[1]), np.stack(items["v"].to_numpy())])}
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            longer = np.flatnonzero(sizes > 1)  # a history's first event is never the one to find
+            p = {**dense, "E": np.vstack([np.zeros(dense["P"].shape[1]), np.stack(items["v"].to_numpy())])}
+            p = {k: w.astype(np.float32) for k, w in p.items()}
             rng = np.random.default_rng([seed & 0xFFFFFFFF, turn, table["replica"][0].as_py()])
-            m, s, step = dict.fromkeys(p, 0.0), dict.fromkeys(p, 0.0), 0
+            optimizer = AdamW(lr, decay)
             for _ in range(epochs):
-                order = rng.permutation(ends)
+                order = rng.permutation(longer)
                 for lo in range(0, len(order), size):
-                    end = order[lo : lo + size]
-                    at = windows(starts[end], end, length)
-                    _, g = gradients(p, known[at], kinds[at], known[end + 1], rng.integers(1, len(items) + 1, len(end)), heads)
-                    step += 1
-                    for k in p:
-                        m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.98 * s[k] + 0.02 * g[k] ** 2
-                        p[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.98**step)) + 1e-8)
+                    some = order[lo : lo + size]
+                    at = windows(starts[some], ends[some] - 1, min(length, sizes[some].max() - 1))
+                    right = known[np.where(at > 0, at + 1, 0)]
+                    _, g = gradients(p, known[at], kinds[at], right, rng.integers(1, len(items) + 1, at.shape), heads, dropout, rng)
+                    optimizer.step(p, g)
+            p = {k: w.astype(float) for k, w in p.items()}
             used = np.bincount(known, minlength=len(items) + 1)[1:].astype(float)
             embedded = p.pop("E")[1:]
             ids = pa.concat_arrays([items["item_id"].combine_chunks(), pa.nulls(1, items["item_id"].type)])
-            return pa.table({"item_id": ids, "weight": np.append(used, len(ends) or 1e-9), "v": pa.array([*embedded, _packed(p)], pa.list_(pa.float64()))})
+            return pa.table({"item_id": ids, "weight": np.append(used, (sizes[longer] - 1).sum() or 1e-9), "v": pa.array([*embedded, _packed(p)], pa.list_(pa.float64()))})
 
         return train
 
@@ -167,10 +144,8 @@ class Attention(Recommender):
             later = F.transform("session_prefix", lambda x: F.struct(x.alias("item_id"), F.col("vertical").alias("vertical")))
             history = F.concat(history, F.coalesce(later, F.array().cast(asked.schema["history"].dataType)))
         asked = asked.withColumn("history", history)
-        newest = F.slice("history", F.greatest(F.size("history") - self.length, F.lit(0)) + 1, F.lit(self.length))
-        events = asked.select(*KEY, F.posexplode(newest).alias("at", "event")).withColumn("item_id", F.col("event.item_id")).join(self.embeddings, "item_id", "left")
-        blank = F.array(*[F.lit(0.0)] * self.d)
-        entry = F.struct("at", F.col("v").isNotNull().alias("known"), F.col("event.vertical").alias("kind"), F.coalesce("v", blank).alias("v"))
+        events = asked.select(*KEY, F.posexplode("history").alias("at", "event")).withColumn("item_id", F.col("event.item_id")).join(self.embeddings, "item_id")
+        entry = F.struct("at", F.col("event.vertical").alias("kind"), "v")
         grouped = events.groupBy(*KEY).agg(F.sort_array(F.collect_list(entry)).alias("events"))
         length, heads, dense, verticals = self.length, self.heads, self.p, pa.array(self.verticals, pa.string())
 
@@ -180,11 +155,13 @@ class Attention(Recommender):
                 events, ends = column.flatten(), np.cumsum(pc.list_value_length(column).to_numpy())
                 vectors = events.field("v").flatten().to_numpy().reshape(len(events), -1)
                 p = {**dense, "E": np.vstack([np.zeros(dense["P"].shape[1]), vectors])}
-                at = windows(np.append(0, ends)[:-1], ends, length)
-                known = np.append(False, events.field("known").to_numpy(zero_copy_only=False))
                 kinds = np.append(0, pc.index_in(events.field("kind"), value_set=verticals).fill_null(-1).to_numpy() + 1)
-                h, _ = attend(p, np.where(known[at], at, 0), kinds[at], heads)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array(list(h), pa.list_(pa.float64()))], [*KEY, "h"])
+                starts, h = np.append(0, ends)[:-1], []
+                for lo in range(0, len(ends), ENCODED):
+                    part = slice(lo, lo + ENCODED)
+                    at = windows(starts[part], ends[part], min(length, (ends - starts)[part].max()))
+                    h.extend(encode(p, at, kinds[at], heads)[0][:, -1])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array(h, pa.list_(pa.float64()))], [*KEY, "h"])
 
         types = dict(rows.dtypes)
         return grouped.mapInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in KEY), "h array<double>"]))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lumora.models.catalog import build
 from lumora.models.factor import PairwiseFactors
 from lumora.models.rounds import averaged, shares
-from lumora.models.sequence import Attention, attend, gradients, windows
+from lumora.models.sequence import Attention, windows
+from lumora.models.transformer import encode, gradients, initial
 from lumora.models.walk import attributes
 from lumora.operators.dataset import Dataset
 from lumora.sources.catalog import load
@@ -49,7 +50,7 @@ def test_pairwise_factors_repeat(spark, camps):
 
 @pytest.mark.parametrize("replica", [1 << 17, 60])
 def test_attention_in_replicas(spark, camps, replica):
-    model = Attention(d=8, max_len=4, epochs=24, batch=16, stale=False, replica_events=replica).fit(camps)
+    model = Attention(d=8, max_len=4, lr=0.02, epochs=80, batch=16, stale=False, replica_events=replica, n_heads=1, n_blocks=1, dropout=0).fit(camps)
     assert model.embeddings.count() == 12
     assert own_camp(model, camps.eval_rows()) > 0.9
 
@@ -61,11 +62,10 @@ def test_a_session_prefix_is_a_longer_history(spark, camps):
     empty = {(r.user_id, r.item_id): r.score for r in model.score(rows.withColumn("session_prefix", F.lit(None).cast("array<string>"))).collect()}
     more = {(r.user_id, r.item_id): r.score for r in model.score(rows.withColumn("session_prefix", F.array(F.lit("a1"), F.lit("nowhere")))).collect()}
     assert plain == empty and plain != more
-    # the newest four events of user 0 are then a3, a4, a1 and an unknown item
+    # the newest four events of user 0 are then a2, a3, a4 and a1; the unknown item is left out
     at = {r.item_id: np.array(r.v) for r in model.embeddings.collect()}
-    x = np.array([at["a3"], at["a4"], at["a1"], np.zeros(8)]) + model.p["P"] + model.p["V"][[1, 1, 1, 1]]
-    weights = np.exp((x @ model.p["Wk"]) @ (x[-1] @ model.p["Wq"]) / np.sqrt(8))[:3]
-    h = x[-1] + weights / weights.sum() @ (x @ model.p["Wv"])[:3]
+    p = {**model.p, "E": np.array([np.zeros(8), at["a2"], at["a3"], at["a4"], at["a1"]])}
+    h = encode(p, np.array([[1, 2, 3, 4]]), np.ones((1, 4), int), 2)[0][0, -1]
     assert all(more[0, i] == pytest.approx(h @ v) for i, v in at.items())
 
 
@@ -105,42 +105,70 @@ def test_categories_of_rating_files(spark, tmp_path):
     assert {r.attribute.split("=")[0] for r in attributes(data).collect()} == {"category", "vertical"}
 
 
-def test_gradients_of_two_heads():
+@pytest.fixture
+def small():
+    """(weights of two blocks, histories, verticals) with padding and one history that is padding alone."""
     rng = np.random.default_rng(3)
-    shapes = {"E": (7, 6), "P": (4, 6), "V": (3, 6), "Wq": (6, 6), "Wk": (6, 6), "Wv": (6, 6)}
-    p = {k: rng.normal(0, 0.5, shape) for k, shape in shapes.items()}
+    p = {k: w + rng.normal(0, 0.2, w.shape) for k, w in initial(6, 2, rng).items()}
+    p |= {k: rng.normal(0, 0.5, (size, 6)) for k, size in {"E": 8, "P": 5, "V": 3}.items()}
     p["E"][0] = 0
-    items, kinds = np.array([[0, 1, 2, 3], [4, 5, 4, 6], [0, 0, 0, 2]]), np.array([[0, 1, 2, 1], [2, 2, 1, 1], [0, 0, 0, 2]])
-    right, wrong = np.array([5, 1, 3]), np.array([6, 6, 1])
-    _, g = gradients(p, items, kinds, right, wrong, heads=2)
+    return p, np.array([[0, 1, 2, 3], [4, 5, 4, 6], [0, 0, 0, 2], [0, 0, 0, 0]]), np.array([[0, 1, 2, 1], [2, 2, 1, 1], [0, 0, 0, 2], [0, 0, 0, 0]])
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.3])
+def test_gradients_against_differences(small, dropout):
+    p, items, kinds = small
+    right, wrong = np.array([[0, 2, 3, 7], [5, 4, 6, 1], [0, 0, 0, 3], [0, 0, 0, 0]]), np.array([[1, 6, 6, 1], [2, 2, 3, 7], [1, 4, 2, 6], [1, 1, 2, 3]])
+    loss = lambda: gradients(p, items, kinds, right, wrong, 2, dropout, np.random.default_rng(8))
+    _, g = loss()
+    assert set(g) == set(p)
     for name, w in p.items():
-        for at in np.ndindex(*w.shape):
+        for at in [*np.ndindex(*w.shape)][::3]:
             if name == "E" and at[0] == 0:
                 continue  # padding isn't learnt
-            loss = []
-            for step in (1e-5, -1e-5):
+            found = []
+            for step in (1e-5, -2e-5):
                 w[at] += step
-                loss.append(gradients(p, items, kinds, right, wrong, heads=2)[0])
-                w[at] -= step
-            assert g[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=1e-7)
-
-
-def test_each_head_attends_by_its_own_components():
-    rng = np.random.default_rng(4)
-    p = {k: rng.normal(0, 0.5, shape) for k, shape in {"E": (5, 6), "P": (3, 6), "V": (2, 6), "Wq": (6, 6), "Wk": (6, 6), "Wv": (6, 6)}.items()}
-    items, kinds = np.array([[0, 1, 4]]), np.array([[0, 1, 1]])
-    x = (p["E"][items] + p["P"] + p["V"][kinds])[0]
-    want = x[-1].copy()
-    for part in (slice(0, 3), slice(3, 6)):
-        q, k, v = x[-1] @ p["Wq"][:, part], x[1:] @ p["Wk"][:, part], x[1:] @ p["Wv"][:, part]
-        a = np.exp(k @ q / np.sqrt(3))
-        want[part] += a / a.sum() @ v
-    assert np.allclose(attend(p, items, kinds, heads=2)[0][0], want)
+                found.append(loss()[0])
+            w[at] += 1e-5
+            assert g[name][at] == pytest.approx((found[0] - found[1]) / 2e-5, abs=1e-7)
+
+
+def test_a_position_depends_on_its_own_past_alone(small):
+    p, items, kinds = small
+    h, _ = encode(p, items, kinds, 2)
+    later = items.copy()
+    later[1, 3] = 1
+    changed, _ = encode(p, later, kinds, 2)
+    assert np.array_equal(h[1, :3], changed[1, :3]) and not np.allclose(h[1, 3], changed[1, 3])
+    short, _ = encode(p, items[:1, 1:], kinds[:1, 1:], 2)  # more padding changes nothing
+    assert np.allclose(h[0, 1:], short[0]) and np.isfinite(h).all()
+
+
+def test_blocks_against_a_plain_version(small):
+    """One history position by position and head by head, with loops."""
+    p, items, kinds = small
+    norm = lambda x, w, b: (x - x.mean()) / np.sqrt(x.var() + 1e-5) * p[w] + p[b]
+    xs = [p["E"][i] * np.sqrt(6) + p["P"][t + 1] + p["V"][k] for t, (i, k) in enumerate(zip(items[1], kinds[1]))]
+    for b in (0, 1):
+        ys = [norm(x, f"gain_attend{b}", f"bias_attend{b}") for x in xs]
+        after = []
+        for t, x in enumerate(xs):
+            heads = []
+            for part in (slice(0, 3), slice(3, 6)):
+                q = ys[t] @ p[f"query{b}"][:, part]
+                a = np.exp([q @ (y @ p[f"key{b}"][:, part]) / np.sqrt(3) for y in ys[: t + 1]])
+                heads.append(sum(w * (y @ p[f"value{b}"][:, part]) for w, y in zip(a / a.sum(), ys)))
+            x = x + np.concatenate(heads) @ p[f"out{b}"]
+            u = norm(x, f"gain_inner{b}", f"bias_inner{b}") @ p[f"up{b}"] + p[f"up_bias{b}"]
+            after.append(x + (0.5 * u * (1 + np.tanh(np.sqrt(2 / np.pi) * (u + 0.044715 * u**3)))) @ p[f"down{b}"] + p[f"down_bias{b}"])
+        xs = after
+    assert np.allclose(encode(p, items, kinds, 2)[0][1], [norm(x, "gain", "bias") for x in xs])
     with pytest.raises(ValueError, match="share 6 components"):
         Attention(d=6, n_heads=4)
 
 
-def test_two_heads_in_replicas(spark, camps):
-    model = Attention(d=8, max_len=4, epochs=24, batch=16, stale=False, replica_events=60, n_heads=2).fit(camps)
+def test_two_heads_and_blocks_in_replicas(spark, camps):
+    model = Attention(d=8, max_len=4, lr=0.02, epochs=80, batch=16, stale=False, replica_events=60, dropout=0.1).fit(camps)
     assert model.embeddings.count() == 12
     assert own_camp(model, camps.eval_rows()) > 0.9
