@@ -20,6 +20,7 @@ from lumora.session import cut, ship
 
 REPLICA_EVENTS = 1 << 17  # events of a replica's histories, about
 ROUNDS = 4
+SPARE = 1000  # partitions beyond one for each replica, as hashes put some together
 ENCODED = 512  # histories encoded at a time
 
 
@@ -76,6 +77,7 @@ class Attention(Recommender):
             asked = histories.select(replica, F.xxhash64("user_id").alias("place"), "history", F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("array<double>").alias("v"))
             needed = asked.select("replica", F.explode("history.item_id").alias("item_id")).distinct().join(items, "item_id")
             rows = asked.unionByName(needed.select("replica", F.lit(None).cast("long").alias("place"), F.lit(None).cast(asked.schema["history"].dataType).alias("history"), "item_id", "v"))
+            rows = rows.repartition(n_replicas + min(3 * n_replicas, SPARE), "replica")  # a number of its own: small partitions would be put together, and replicas train one after another
             found = cut(rows.groupBy("replica").applyInArrow(self._trainer(turn, epochs), f"item_id {kind}, weight double, v array<double>"))
             items = cut(averaged(found.where("item_id is not null"), "item_id", self.d))
             self._take(found.where("item_id is null").select("weight", "v"))

@@ -49,9 +49,10 @@ def _through_norm(dy: np.ndarray, gain: np.ndarray, kept):
 
 def _gelu(u: np.ndarray):
     """(GELU by tanh, its slope)."""
-    c = np.sqrt(2 / np.pi).astype(u.dtype)
-    t = np.tanh(c * (u + 0.044715 * u**3))
-    return 0.5 * u * (1 + t), 0.5 * (1 + t) + 0.5 * u * (1 - t * t) * c * (1 + 3 * 0.044715 * u * u)
+    c, square = float(np.sqrt(2 / np.pi)), u * u
+    t = np.tanh(c * u * (1 + 0.044715 * square))
+    half = 0.5 + 0.5 * t
+    return u * half, half + 0.5 * c * u * (1 - t * t) * (1 + 3 * 0.044715 * square)
 
 
 def _outer(x: np.ndarray, dy: np.ndarray) -> np.ndarray:
