@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.llm.gru import Gru
-from lumora.llm.text import buffers, hash_spans, mix, spans
+from lumora.llm.text import buffers, hash_spans, mix, slices, spans
 from lumora.session import cut, ship
 
 HEAD_WORDS = 2048
@@ -39,16 +39,6 @@ TEXTS = 2000  # texts scored together, or
 BYTES = 8 << 20  # so many bytes of text
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of TEXTS texts and BYTES bytes at most (a longer text is one slice)."""
-    sizes = np.diff(buffers(batch.column("text"))[1])
-    lo = 0
-    while lo < batch.num_rows:
-        hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo : lo + TEXTS]), BYTES, "right")))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def words_and_classes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, tail classes, where each text's words begin) of the words of a text column."""
     buf, offsets = buffers(column)
@@ -63,7 +53,7 @@ def words_and_classes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in _pieces(batch):
+        for piece in slices(batch, TEXTS, BYTES):
             hashes, kinds, _ = words_and_classes(piece.column("text"))
             words, first, n = np.unique(hashes, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(kinds[first].astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "kind", "n"])
@@ -111,7 +101,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[
     kinds_of = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
     denominator = np.log10(model.total + model.distinct + 1)
     for batch in batches:
-        for piece in _pieces(batch):
+        for piece in slices(batch, TEXTS, BYTES):
             hashes, kinds, at = words_and_classes(piece.column("text"))
             counts, tokens = model.look_up(hashes, kinds)
             n, owner = piece.num_rows, np.repeat(np.arange(piece.num_rows), np.diff(at))
@@ -173,7 +163,7 @@ def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
     """The token ids of texts, packed; key: theirs, another one for each copy in a slice, so that copies are dealt too."""
     model: Model = shared.value
     for batch in batches:
-        for piece in _pieces(batch):
+        for piece in slices(batch, TEXTS, BYTES):
             hashes, kinds, at = words_and_classes(piece.column("text"))
             ids, bounds = model.sequences(model.look_up(hashes, kinds)[1], at)
             keys = piece.column("key").to_numpy().view(np.uint64)

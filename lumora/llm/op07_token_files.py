@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.llm.op03_mixing import running
+from lumora.llm.text import slices
 from lumora.llm.wordcache import id_bytes, shared_cache
 from lumora.session import cut, scratch, ship
 
@@ -34,13 +35,21 @@ MAGIC = b"PFOR0001"
 BLOCK = 256
 PERCENTILE = 95
 FILE_IDS = 1 << 21  # a file is closed at the document that reaches so many ids
-_GROUP = 4096  # blocks packed at once
+TEXTS = 4000  # texts encoded together, or
+BYTES = 8 << 20  # so many bytes of text
+_GROUP = 256  # blocks packed at once
 
 
 def _bit_lengths(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
+def _layout(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id of a block: the 64-bit word that its bits begin in, its place in there; and the ids whose bits end in the next word."""
+    at = np.arange(BLOCK) * width
+    return at >> 6, (at & 63).astype(np.uint64), np.flatnonzero((at & 63) + width > 64)
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
     """(minimum, width, exceptions before, bytes before, packed, places, high bits) of the blocks of ids."""
     n = -(-len(ids) // BLOCK)
@@ -58,12 +67,14 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     rows, places = np.nonzero(over)
     high = rest[rows, places] >> width[rows]
     starts = np.concatenate([[0], np.cumsum(width.astype(np.uint64) * (BLOCK // 8))]).astype(np.uint64)
-    packed = np.zeros(int(starts[-1]), np.uint8)
-    for w in np.unique(width):
-        for group in np.array_split(chosen := np.flatnonzero(width == w), -(-len(chosen) // _GROUP)) if w else []:
-            bits = np.unpackbits(rest[group].astype("<u4").view(np.uint8).reshape(len(group), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
-            lines = np.packbits(bits.reshape(len(group), -1), axis=1, bitorder="little")
-            packed[starts[group].astype(np.int64)[:, None] + np.arange(lines.shape[1])] = lines
+    packed = np.zeros(int(starts[-1]) // 8, "<u8")
+    for w in np.unique(width[width > 0]).tolist():
+        word, shift, over_edge = _layout(w)
+        for group in np.array_split(chosen := np.flatnonzero(width == w), -(-len(chosen) // _GROUP)):
+            bits = rest[group].astype(np.uint64) & np.uint64((1 << w) - 1)
+            lines = np.bitwise_or.reduceat(bits << shift, np.flatnonzero(np.diff(word, prepend=-1)), axis=1)
+            lines[:, word[over_edge] + 1] |= bits[:, over_edge] >> (np.uint64(64) - shift[over_edge])
+            packed[starts[group].astype(np.int64)[:, None] // 8 + np.arange(lines.shape[1])] = lines
     before = np.searchsorted(rows, np.arange(n)).astype(np.uint32)
     return low, width, before, starts[:-1], packed.tobytes(), places.astype(np.uint8), high.astype(np.uint32)
 
@@ -72,13 +83,14 @@ def unpack(n_ids: int, low, width, before, starts, packed: np.ndarray, places, h
     """The ids of the blocks; the inverse of pack."""
     n = len(low)
     rest = np.zeros((n, BLOCK), np.uint32)
-    for w in np.unique(width):
-        for group in np.array_split(chosen := np.flatnonzero(width == w), -(-len(chosen) // _GROUP)) if w else []:
-            lines = packed[starts[group].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)]
-            bits = np.unpackbits(lines, axis=1, bitorder="little").reshape(len(group), BLOCK, int(w))
-            wide = np.zeros((len(group), BLOCK, 32), np.uint8)
-            wide[:, :, :w] = bits
-            rest[group] = np.packbits(wide.reshape(len(group), -1), axis=1, bitorder="little").view("<u4").reshape(len(group), BLOCK)
+    packed = packed.view("<u8")
+    for w in np.unique(width[width > 0]).tolist():
+        word, shift, over_edge = _layout(w)
+        for group in np.array_split(chosen := np.flatnonzero(width == w), -(-len(chosen) // _GROUP)):
+            lines = packed[starts[group].astype(np.int64)[:, None] // 8 + np.arange(w * BLOCK // 64)]
+            bits = lines[:, word] >> shift
+            bits[:, over_edge] |= lines[:, word[over_edge] + 1] << (np.uint64(64) - shift[over_edge])
+            rest[group] = bits & np.uint64((1 << w) - 1)
     rows = np.repeat(np.arange(n), np.diff(np.append(before, len(places)).astype(np.int64)))
     rest[rows, places] |= high << width[rows].astype(np.uint32)
     return (rest + low[:, None]).reshape(-1)[:n_ids]
@@ -127,27 +139,39 @@ def _put(folder: str, name: str, raw: bytes) -> None:
     store.move(own, f"{path}/{name}")
 
 
+def _with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of texts, end_id after each, where each text's begin)."""
+    bounds = bounds + np.arange(len(bounds))
+    out, inside = np.full(len(ids) + len(bounds) - 1, end_id, np.uint32), np.ones(len(ids) + len(bounds) - 1, bool)
+    inside[bounds[1:] - 1] = False
+    out[inside] = ids
+    return out, bounds
+
+
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     cache = shared_cache(path, id_bytes)
-    end = np.array([end_id], "<u4").tobytes()
-    part, doc_ids, texts, size, files, n_ids = TaskContext.get().partitionId(), [], [], 0, 0, 0
+    part, doc_ids, lengths, texts, size, files, n_ids = TaskContext.get().partitionId(), [], [], [], 0, 0, 0
 
     def flush() -> None:
-        nonlocal doc_ids, texts, size, files, n_ids
-        ids = np.frombuffer(b"".join(texts), "<u4")
-        _put(folder, f"{part:08d}-{files:06d}.pfor", to_bytes(doc_ids, np.array([len(t) // 4 for t in texts]), ids))
-        files, n_ids = files + 1, n_ids + len(ids)
-        doc_ids, texts, size = [], [], 0
+        nonlocal doc_ids, lengths, texts, size, files, n_ids
+        _put(folder, f"{part:08d}-{files:06d}.pfor", to_bytes(doc_ids, np.concatenate(lengths), np.concatenate(texts)))
+        files, n_ids = files + 1, n_ids + size
+        doc_ids, lengths, texts, size = [], [], [], 0
 
     for batch in batches:
-        for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-            rows = piece.column("doc_id").to_pylist()
-            for doc_id, values in zip(rows, cache.words([t or "" for t in piece.column("text").to_pylist()]), strict=True):
-                doc_ids.append(doc_id)
-                texts.append(b"".join(values) + end)
-                size += len(texts[-1]) // 4
+        for piece in slices(batch, TEXTS, BYTES):
+            raw, at = cache.joined(piece.column("text"))
+            ids, bounds = _with_end(raw.view("<u4"), at // 4, end_id)
+            rows, lo = piece.column("doc_id").to_pylist(), 0
+            while lo < len(rows):
+                hi = min(len(rows), int(np.searchsorted(bounds, bounds[lo] + FILE_IDS - size)))
+                doc_ids += rows[lo:hi]
+                lengths.append(np.diff(bounds[lo : hi + 1]))
+                texts.append(ids[bounds[lo] : bounds[hi]])
+                size += int(bounds[hi] - bounds[lo])
                 if size >= FILE_IDS:
                     flush()
+                lo = hi
     if doc_ids:
         flush()
     yield pa.RecordBatch.from_arrays([pa.array([files]), pa.array([n_ids])], ["files", "ids"])

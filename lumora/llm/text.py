@@ -59,6 +59,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, texts: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of so many texts and bytes of text at most (a longer text is one slice)."""
+    sizes = np.diff(buffers(batch.column("text"))[1])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo : lo + texts]), size, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends) of all words in bytes, and where each text's words begin among them."""
     space = (buf == 32) | ((buf >= 9) & (buf <= 13))

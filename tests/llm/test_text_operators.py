@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import product
+from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
@@ -18,7 +20,7 @@ from lumora.llm import op07_token_files as files
 from lumora.llm import op08_chat as chat
 from lumora.llm.op04_token_counts import count_tokens
 from lumora.llm.text import hash_word, shingles, word_hashes
-from lumora.llm.wordcache import open_tokenizer
+from lumora.llm.wordcache import WordCache, id_bytes, open_tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -74,6 +76,27 @@ def test_token_files(spark, odd):
     assert files.written_and_read(odd.limit(0), PATH).count() == 0
 
 
+def test_words_of_a_column(monkeypatch):
+    """Unseen words of a column go to the library many at a time, and every letter, mark and white space comes out as it has them."""
+    letters = [chr(x) for x in range(0x250) if chr(x).isalpha()]
+    marks = [chr(x) for x in range(33, 127) if not chr(x).isalnum()]
+    texts = [t for _, t, _ in ODD] + [f"{c} a{c}b {c}{c}x, {c.upper()}z" for c in letters] + [f"ab{m} é{m}{m}. {m}c a{m}b" for m in marks]
+    texts += ["x\u00a0y z\u2003w", "a\x1cb \x85", "e\u0301t \u0301a", "\u212aelvin \u212bx", "a\x00b \x7f", "", " ", "Zz\tzz\nzz"]
+    library, cache = open_tokenizer(PATH), WordCache(PATH, id_bytes)
+    monkeypatch.setattr("lumora.llm.wordcache.CACHE_WORDS", 10)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for column in (pa.array(texts), pa.array([None, *texts]).slice(1), pa.array(texts, pa.large_string())):
+        raw, at = cache.joined(column)
+        assert [raw[a:b].view("<u4").tolist() for a, b in zip(at, at[1:], strict=False)] == want
+    for empty in (pa.array([], pa.string()), pa.array([None, ""])):
+        raw, at = cache.joined(empty)
+        assert len(raw) == 0 and at.tolist() == [0] * (len(empty) + 1)
+    calls, encode = [], cache.latin.tokenizer
+    monkeypatch.setattr(cache.latin, "tokenizer", SimpleNamespace(encode_batch_fast=lambda *a, **k: calls.append(1) or encode.encode_batch_fast(*a, **k)))
+    cache.joined(pa.array([" ".join("".join(c) for c in product("bcdfg", repeat=5))]))
+    assert len(calls) == 4  # 3,125 words
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=700), st.integers(0, 5))
 def test_blocks_round_trip(ids, cuts):
