@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 WIDTH = 64
+SHORT = 6  # rows in a run that is short to _sums
 SAFE = 60.0  # exp of this and its inverse are far from the bounds of single precision
 
 
@@ -34,6 +35,23 @@ def _with_one(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sums(x: np.ndarray, order: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The sums of rows order[begin[i]:begin[i + 1]] of x [k, rows, n], for each i; short runs, which most are, of one length at once."""
+    sizes = np.diff(begin, append=len(order))
+    out = np.empty((len(x), len(begin), x.shape[2]), x.dtype)
+    for size in range(1, SHORT + 1):
+        at = np.flatnonzero(sizes == size)
+        total = x.take(order[begin[at]], axis=1)
+        for j in range(1, size):
+            total += x.take(order[begin[at] + j], axis=1)
+        out[:, at] = total
+    at = np.flatnonzero(sizes > SHORT)
+    if len(at):
+        rows = order[np.repeat(sizes > SHORT, sizes)]
+        out[:, at] = np.add.reduceat(x.take(rows, axis=1), np.cumsum(sizes[at]) - sizes[at], axis=1)
+    return out
+
+
 @dataclass
 class Streams:
     """Token columns of parallel streams, [steps, streams]: the token before, whether a text begins, the token, its text (-1: none)."""
@@ -104,11 +122,15 @@ class Gru:
     def class_of(self, token: np.ndarray) -> np.ndarray:
         return np.where(token < self.n_head, token // WIDTH, token - self.n_head + self.bins)
 
+    def _by_gate(self, x: np.ndarray) -> np.ndarray:
+        """Columns of r, z and the candidate as [3, rows, size]: each one's rows lie together, so that a step's work is in whole runs."""
+        return np.ascontiguousarray(x.reshape(len(x), 3, self.size).transpose(1, 0, 2))
+
     def _prepare(self) -> None:
         """What the weights make of every token and state before the gates, and the output's weights over their biases."""
         p, n = self.p, self.size
-        half = np.repeat(np.array([0.5, 1], p["U"].dtype), [2 * n, n])  # sigmoid(x) = (1 + tanh(x / 2)) / 2
-        self.table, self.recurrent = p["E"] @ (p["W"] * half) + p["b"] * half, p["U"] * half
+        half = np.array([0.5, 0.5, 1], p["U"].dtype)[:, None, None]  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        self.table, self.recurrent = p["E"] @ (self._by_gate(p["W"]) * half) + self._by_gate(p["b"][None]) * half, self._by_gate(p["U"]) * half
         self.classes, self.inside = np.concatenate([p["C"], p["c"][None]]), np.concatenate([p["O"], p["o"][:, None]], axis=1)
         self.bounds = [float(np.abs(x).sum(axis=-2).max()) for x in (self.classes, self.inside)]
 
@@ -116,27 +138,30 @@ class Gru:
         """The states of steps lo to hi after state h, the last one, and what backward needs: previous states, their candidate parts,
         gates r and z, candidates, and 0 where a text begins."""
         n, steps, kind = self.size, hi - lo, h.dtype
-        inputs, u, alive = self.table.take(s.before[lo:hi], axis=0), self.recurrent, (~s.begins[lo:hi, :, None]).astype(kind)
+        inputs, u, alive = self.table.take(s.before[lo:hi], axis=1), self.recurrent, (~s.begins[lo:hi, :, None]).astype(kind)
+        begins, kept = s.begins[lo:hi].any(axis=1).tolist(), steps if keep else 1
         out = np.empty((steps, *h.shape), kind)
-        before, part, gates, new = (np.empty((steps if keep else 1, h.shape[0], w), kind) for w in (n, n, 2 * n, n))
-        g = np.empty((h.shape[0], 3 * n), kind)
+        before, new = (np.empty((kept, *h.shape), kind) for _ in range(2))
+        g, gates = np.empty((kept, 3, *h.shape), kind), np.empty((kept, 2, *h.shape), kind)
         for t in range(steps):
             i = t if keep else 0
-            np.multiply(h, alive[t], out=before[i])
-            np.matmul(before[i], u, out=g)
-            np.add(inputs[t, :, : 2 * n], g[:, : 2 * n], out=gates[i])
+            if begins[t]:
+                np.multiply(h, alive[t], out=before[i])
+            else:
+                before[i] = h
+            np.matmul(before[i], u, out=g[i])
+            np.add(inputs[:2, t], g[i, :2], out=gates[i])
             np.tanh(gates[i], out=gates[i])
             gates[i] *= 0.5
             gates[i] += 0.5
-            part[i] = g[:, 2 * n :]
-            np.multiply(gates[i, :, :n], part[i], out=new[i])
-            new[i] += inputs[t, :, 2 * n :]
+            np.multiply(gates[i, 0], g[i, 2], out=new[i])
+            new[i] += inputs[2, t]
             np.tanh(new[i], out=new[i])
             h = out[t]
             np.subtract(before[i], new[i], out=h)
-            h *= gates[i, :, n:]
+            h *= gates[i, 1]
             h += new[i]
-        return out, h, (before, part, gates[:, :, :n], gates[:, :, n:], new, alive)
+        return out, h, (before, g[:, 2], gates[:, 0], gates[:, 1], new, alive)
 
     def _by_class(self, kind: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """(the head words among the tokens in order of class, each class with its bounds among them)."""
@@ -214,25 +239,32 @@ class Gru:
         rest *= z
         to_z *= rest
         to_r *= 1 - r
-        dh, u = np.zeros_like(h), np.ascontiguousarray(p["U"].T)
-        dinputs, dg = (np.empty((hi - lo, h.shape[0], 3 * n), h.dtype) for _ in range(2))
+        dh, u = np.zeros_like(h), np.ascontiguousarray(self._by_gate(p["U"]).transpose(0, 2, 1)[[2, 0, 1]])
+        d, back = np.empty((4, *states.shape), h.dtype), np.empty((3, *h.shape), h.dtype)  # of the candidate's recurrent part, r, z and the candidate
+        dpart, dr, dz, dnew = d
+        begins = s.begins[lo:hi].any(axis=1).tolist()
         for t in range(hi - lo - 1, -1, -1):
             dh += dstates[t]
-            dnew = dinputs[t, :, 2 * n :]
-            np.multiply(dh, to_new[t], out=dnew)
-            np.multiply(dh, to_z[t], out=dinputs[t, :, n : 2 * n])
-            np.multiply(dnew, to_r[t], out=dinputs[t, :, :n])
-            dg[t, :, : 2 * n] = dinputs[t, :, : 2 * n]
-            np.multiply(dnew, r[t], out=dg[t, :, 2 * n :])
+            np.multiply(dh, to_new[t], out=dnew[t])
+            np.multiply(dh, to_z[t], out=dz[t])
+            np.multiply(dnew[t], to_r[t], out=dr[t])
+            np.multiply(dnew[t], r[t], out=dpart[t])
             dh *= z[t]
-            dh += dg[t] @ u
-            dh *= alive[t]
-        grads["U"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
-        tokens, dflat = s.before[lo:hi].reshape(-1), dinputs.reshape(-1, 3 * n)
+            np.matmul(d[:3, t], u, out=back)
+            dh += back[0]
+            dh += back[1]
+            dh += back[2]
+            if begins[t]:
+                dh *= alive[t]
+        d = d.reshape(4, -1, n)
+        grads["U"] = (before.reshape(-1, n).T @ d[:3])[[1, 2, 0]].transpose(1, 0, 2).reshape(n, 3 * n)
+        tokens = s.before[lo:hi].reshape(-1)
         order = np.argsort(tokens.astype(np.uint16) if self.end < 1 << 16 else tokens, kind="stable")
         begin = np.flatnonzero(np.diff(tokens[order], prepend=-1))
-        grads["W"], grads["b"] = p["E"].take(tokens, axis=0).T @ dflat, dflat.sum(axis=0)
-        grads["E"][tokens[order[begin]]] = np.add.reduceat((dflat @ p["W"].T).take(order, axis=0), begin, axis=0)
+        own = tokens[order[begin]]
+        of_tokens = _sums(d[1:], order, begin).transpose(1, 0, 2).reshape(len(own), 3 * n)  # of each distinct token's rows of the table
+        grads["W"], grads["b"] = p["E"].take(own, axis=0).T @ of_tokens, of_tokens.sum(axis=0)
+        grads["E"][own] = of_tokens @ p["W"].T
         return nats, len(live), last, grads
 
     def train(self, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, width: int = 32, window: int = 24, rate: float = 0.01, span: tuple[float, float] = (0.0, 1.0), follows: np.ndarray | None = None) -> list[float]:

@@ -35,6 +35,7 @@ PARTS = 16  # of the weights, averaged apart
 SEGMENT = 2048  # a longer text trains in parts of so many tokens, the state anew in each
 BUCKET_WORDS = 400_000  # words of the count table in a bucket, about
 BUCKET_LOOKUPS = 2_000_000  # lookups in a bucket, about
+SLOT_BITS = 18  # first bits of a hash, by which a word of the broadcast table is found
 TEXTS = 2000  # texts scored together, or
 BYTES = 8 << 20  # so many bytes of text
 
@@ -77,10 +78,17 @@ class Model:
         """(count or -1, token) of words."""
         tokens = kinds.astype(np.int32) + HEAD_WORDS
         counts = np.full(len(hashes), -1, np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            found = self.words[at] == hashes
-            counts[found], tokens[found] = self.counts[at[found]], self.tokens[at[found]]
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        first = np.searchsorted(self.words >> np.uint64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        at, last = first[slot], first[slot + 1] - 1  # the words that a hash can be among
+        left = np.flatnonzero(at <= last)
+        while len(left):
+            own = at[left]
+            same = self.words[own] == hashes[left]
+            found, own = left[same], own[same]
+            counts[found], tokens[found] = self.counts[own], self.tokens[own]
+            left = left[~same & (at[left] < last[left])]
+            at[left] += 1
         return counts, tokens
 
     def sequences(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ from lumora.llm import op03_mixing as mixing
 from lumora.llm import op06_lm as lm
 from lumora.llm import op09_embedding_dedup as vectors
 from lumora.llm import queries
-from lumora.llm.gru import Gru, streams
+from lumora.llm.gru import Gru, _sums, streams
 from lumora.llm.graph import connected_components
 from lumora.llm.op01_langid import LanguageModel, fit, held_out, identify
 from lumora.llm.op03_mixing import mix_sources
@@ -214,6 +214,23 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 8 for s in target)
 
 
+def test_lookups_and_sums_by_token():
+    """Words are found by the first bits of their hashes, also where many share them; rows are summed by token in runs of any length."""
+    rng = np.random.default_rng(3)
+    shared = (np.uint64(5) << np.uint64(64 - lm.SLOT_BITS)) + np.arange(40, dtype=np.uint64)
+    for words in (np.unique(np.concatenate([shared, rng.integers(0, 1 << 64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])), shared[:1], shared[:0]):
+        model = lm.Model(words, np.arange(len(words)) + 1, np.arange(len(words), dtype=np.int32), np.zeros(0), 0, 0, 0)
+        asked = np.concatenate([words, words + np.uint64(1), shared, rng.integers(0, 1 << 64, 100, dtype=np.uint64)])
+        place = {int(w): i for i, w in enumerate(words)}
+        counts, tokens = model.look_up(asked, np.full(len(asked), 7, np.uint8))
+        assert counts.tolist() == [place[int(w)] + 1 if int(w) in place else -1 for w in asked]
+        assert tokens.tolist() == [place.get(int(w), lm.HEAD_WORDS + 7) for w in asked]
+    tokens, x = np.repeat(np.arange(30), np.arange(30)), rng.standard_normal((3, 435, 4))
+    order = rng.permutation(435)
+    got = _sums(x, order, np.flatnonzero(np.diff(tokens, prepend=-1)))
+    assert np.allclose(got, np.stack([x[:, order[tokens == t]].sum(axis=1) for t in range(1, 30)], axis=1))
+
+
 def test_gradients_and_scores():
     gru = Gru(70, 3, size=5, embedding=4, seed=1)
     gru.p = {k: v.astype(float) for k, v in gru.p.items()}
