@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumora.llm.op01_langid import UNKNOWN, fit, identify
 from lumora.llm.op02_sentencepiece import encode_texts
 from lumora.llm.op03_mixing import mix_sources
-from lumora.llm.op10_minhash import near_duplicates
+from lumora.llm.op10_minhash import BROADCAST_IDS, near_duplicates
 from lumora.session import cut, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,6 +23,11 @@ def with_rows(docs: DataFrame) -> DataFrame:
     return cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
 
 
+def by_row(decided: DataFrame) -> DataFrame:
+    """A table of decisions by row as rows meet it: broadcast if it is counted to be small, so that no text is shuffled."""
+    return F.broadcast(decided) if decided.count() <= BROADCAST_IDS else decided
+
+
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: texts in which no language is found (null, empty, without letters) go; the others' null lang becomes the one found.
 
@@ -43,14 +48,14 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     members = rows.select("doc_id", "_row").join(groups, "_row")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
     gone = cut(members.select("_row").join(first.select("_row"), "_row", "left_anti"))  # by row: a large group isn't joined by its component
-    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
+    return rows.join(by_row(gone), "_row", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to the weights 5, 2, 1, repeating: a row for each time that the mix takes a document, up to 3."""
     rows = with_rows(docs)
-    copies = mix_sources(rows, weights=(5, 2, 1), max_repeats=3, keep=("_row",)).where("copies > 0").select("_row", "copies")
-    return rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    copies = cut(mix_sources(rows, weights=(5, 2, 1), max_repeats=3, keep=("_row",)).where("copies > 0").select("_row", "copies"))
+    return rows.join(by_row(copies), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from lumora.llm.graph import connected_components, lowest_linked
 from lumora.llm.text import mix, overlap, shingles
-from lumora.session import cut, ship
+from lumora.session import batches_of, cut, ship
 
 MISS = 1e-6
 BLOCK = 512  # classes of a cluster that are held against one another at once
 COLUMNS = 4096  # shingles counted at once
+BATCH_ROWS = 500  # texts or pairs of sets that a worker gets at once
 BROADCAST_IDS = 1_000_000  # so many 8-byte ids at most are broadcast to find texts; more are joined
 
 
@@ -171,10 +172,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     with nothing either, have a null component_id and are kept. Rows that repeat a doc_id each come out. Other columns are
     ignored. An empty table gives an empty result.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     docs = docs.select("doc_id", "text")
     similarity = num / den
-    sketched = cut(docs.mapInArrow(partial(_sketches, n=shingle, k=k), "doc_id long, n_shingles long, class long, sketch binary"))
+    with batches_of(spark, BATCH_ROWS):
+        sketched = cut(docs.mapInArrow(partial(_sketches, n=shingle, k=k), "doc_id long, n_shingles long, class long, sketch binary"))
     known = sketched.where("class is not null and doc_id is not null")
     classes = cut(known.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     sketches = classes.select(F.col("class").alias("node"), "sketch")
@@ -204,11 +207,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         if firsts.count() <= BROADCAST_IDS:
             firsts = F.broadcast(firsts)
         sets = docs.join(firsts, "doc_id", "left_semi").mapInArrow(partial(_blobs, n=shingle), "node long, values binary")
-        return cut(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+        with batches_of(spark, BATCH_ROWS):
+            return cut(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
     likely = cut(_attach(stars, sketches, "sketch").mapInArrow(partial(_alike, k=k, least=least), "a long, b long"))
     sets = full_sets(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    first = cut(_attach(likely, sets, "values").mapInArrow(partial(_linked, num=num, den=den), "a long, b long"))
+    with batches_of(spark, BATCH_ROWS):
+        first = cut(_attach(likely, sets, "values").mapInArrow(partial(_linked, num=num, den=den), "a long, b long"))
     roots = connected_components(first)
 
     named = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))

@@ -16,6 +16,7 @@ from lumora.llm import op02_sentencepiece as pieces
 from lumora.llm import op03_mixing as mixing
 from lumora.llm import op06_lm as lm
 from lumora.llm import op09_embedding_dedup as vectors
+from lumora.llm import op10_minhash
 from lumora.llm import queries
 from lumora.llm.gru import Gru, _sums, streams
 from lumora.llm.graph import connected_components
@@ -101,6 +102,31 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(table.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_small_batches(spark, monkeypatch):
+    """Workers get texts and full sets by BATCH_ROWS at most, and the session's own limit is as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def checked(step):
+        def run(batches, **options):
+            def small():
+                for batch in batches:
+                    assert batch.num_rows <= 7
+                    yield batch
+
+            return step(small(), **options)
+
+        return run
+
+    monkeypatch.setattr(op10_minhash, "BATCH_ROWS", 7)
+    for step in ("_sketches", "_blobs", "_linked"):
+        monkeypatch.setattr(op10_minhash, step, checked(getattr(op10_minhash, step)))
+    texts = [" ".join(f"{i}w{j}" for j in range(60)) + end for i in range(40) for end in ("", " more")]
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i - i % 2) for i in range(80)]
+    assert spark.conf.get(name) == before
+
+
 def test_least_overlap():
     least = least_overlap(0.85, 64)
     draws = np.random.default_rng(1).binomial(64, 0.85, 200_000)
@@ -340,6 +366,22 @@ def test_stages_of_odd_tables(spark):
         assert stage(spark, table.limit(0), "").count() == 0
 
 
+def test_stages_shuffle_no_texts(spark, tmp_path, monkeypatch):
+    """Few decisions reach the rows by broadcast, many by a join, with the same result."""
+    rows = [(i, " ".join(f"{i % 30}w{j}" for j in range(30 + i % 4)), None, "ab"[i % 2], 0) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for stage in (corpus_pipeline.keep_distinct, corpus_pipeline.mix):
+        found = []
+        for most in (1_000_000, -1):
+            monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", most)
+            out = stage(spark, docs, str(tmp_path))
+            found.append(sorted(map(tuple, out.collect()), key=repr))
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert ("strategy=broadcast" in plan) == (most > 0)
+        assert found[0] == found[1] and found[0]
+
+
 def test_stages(spark, tmp_path):
     extra = spark.createDataFrame([(10_000, None, "en", "src0", 0), (10_001, "12 34 !", "en", None, 7), (None, "the one and only of them", None, "src1", 24)], "doc_id long, text string, lang string, source string, n_chars long")
     docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(extra)
