@@ -14,6 +14,7 @@ import numpy as np
 
 WIDTH = 64
 SHORT = 6  # rows in a run that is short to _sums
+SCORED = 4608  # tokens of a window in scoring, about: what is made of them stays near the core
 SAFE = 60.0  # exp of this and its inverse are far from the bounds of single precision
 
 
@@ -299,14 +300,15 @@ class Gru:
             history.append(nats / max(1, tokens))
         return history
 
-    def score(self, ids: np.ndarray, bounds: np.ndarray, width: int = 384, window: int = 48) -> np.ndarray:
-        """The natural log probability of each text, in double precision sums."""
+    def score(self, ids: np.ndarray, bounds: np.ndarray, width: int = 384, window: int | None = None) -> np.ndarray:
+        """The natural log probability of each text, in double precision sums. window: its steps, else as many as the streams leave."""
         self._prepare()
         s = streams(ids, bounds, width, self.end)
         out = np.zeros(len(bounds) - 1)
         h = np.zeros((s.token.shape[1] if len(s.token) else 1, self.size), np.float32)
-        for lo in range(0, len(s.token), window):
-            hi = min(lo + window, len(s.token))
+        hi = 0
+        while hi < len(s.token):
+            lo, hi = hi, min(hi + (window or int(np.clip(SCORED // len(h), 8, 96))), len(s.token))
             states, h, _ = self.run(s, lo, hi, h, keep=False)
             text = s.text[lo:hi].reshape(-1)
             live = np.flatnonzero(text >= 0)

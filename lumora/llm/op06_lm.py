@@ -35,6 +35,7 @@ PARTS = 16  # of the weights, averaged apart
 SEGMENT = 2048  # a longer text trains in parts of so many tokens, the state anew in each
 BUCKET_WORDS = 400_000  # words of the count table in a bucket, about
 BUCKET_LOOKUPS = 2_000_000  # lookups in a bucket, about
+COUNTED = 1_000_000  # words of slices that a task counts together, about
 SLOT_BITS = 18  # first bits of a hash, by which a word of the broadcast table is found
 TEXTS = 2000  # texts scored together, or
 BYTES = 8 << 20  # so many bytes of text
@@ -52,12 +53,30 @@ def words_and_classes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     return hash_spans(buf, starts, ends), (mix(ends_of) % np.uint64(TAIL_CLASSES)).astype(np.uint8), at
 
 
+def _by_word(words: np.ndarray, kinds: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, their tail classes, the sums of their n, or how often they occur)."""
+    known = pa.array(words).dictionary_encode()
+    at, distinct = known.indices.to_numpy(), known.dictionary.to_numpy()
+    own = np.empty(len(distinct), kinds.dtype)
+    own[at] = kinds
+    return distinct, own, np.bincount(at, weights=n, minlength=len(distinct)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: list[tuple[np.ndarray, ...]] = []
+
+    def summed() -> pa.RecordBatch:
+        words, kinds, n = _by_word(*map(np.concatenate, zip(*found, strict=True)))
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(kinds.astype(np.int32)), pa.array(n)], ["word", "kind", "n"])
+
     for batch in batches:
         for piece in slices(batch, TEXTS, BYTES):
-            hashes, kinds, _ = words_and_classes(piece.column("text"))
-            words, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(kinds[first].astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "kind", "n"])
+            found.append(_by_word(*words_and_classes(piece.column("text"))[:2]))
+            if sum(len(x[0]) for x in found) > COUNTED:
+                yield summed()
+    if found:
+        yield summed()
 
 
 @dataclass
@@ -125,7 +144,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[
             rare = counts < 0
             words, owners = hashes[rare], owner[rare].astype("<u4")
             place = (words >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
-            order = np.lexsort((words, place))
+            order = np.argsort(words, kind="stable")  # and so by place
             words, owners, place = words[order].astype("<u8"), owners[order], place[order].astype(np.int32)
             cuts = np.flatnonzero(np.diff(place)) + 1
             some = place[np.concatenate([[0], cuts])] if len(place) else place

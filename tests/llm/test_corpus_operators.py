@@ -8,6 +8,7 @@ from math import log10
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +282,36 @@ def test_gradients_and_scores():
     assert sum(np.exp(gru.score(np.array([t], np.int32), np.array([0, 1]))[0]) for t in range(74)) == pytest.approx(1)
 
 
+def test_windows_of_scores_hold_few_tokens(monkeypatch):
+    """Many streams have short windows and a few long ones, with the scores of any other."""
+    rng = np.random.default_rng(8)
+    gru = Gru(70, 3, size=5, embedding=6)
+    bounds = np.concatenate([[0], np.cumsum([*rng.integers(1, 90, 500), 900])])
+    ids = rng.integers(0, 74, bounds[-1]).astype(np.int32)
+    run, seen = Gru.run, []
+    monkeypatch.setattr(Gru, "run", lambda self, s, lo, hi, h, keep: (seen.append((hi - lo, len(h))), run(self, s, lo, hi, h, keep))[1])
+    got = gru.score(ids, bounds)
+    assert max(a * b for a, b in seen) <= 4608 and any(a > 48 for a, _ in seen)
+    assert got == pytest.approx(gru.score(ids, bounds, window=7), rel=1e-5)
+
+
+def test_a_task_counts_its_slices_together(monkeypatch):
+    monkeypatch.setattr(lm, "TEXTS", 2)
+    texts = pa.RecordBatch.from_pydict({"text": ["a b A", "c", "b b", "", "a"]})
+    for most, rows in ((1_000_000, 1), (1, 2)):
+        monkeypatch.setattr(lm, "COUNTED", most)
+        found = list(lm._count(iter([texts])))
+        assert len(found) == rows
+        total = Counter()
+        for x in found:
+            assert len(set(x.column("word").to_pylist())) == x.num_rows
+            total.update(dict(zip(x.column("word").to_pylist(), x.column("n").to_pylist(), strict=True)))
+        hashes, kinds, _ = lm.words_and_classes(texts.column("text"))
+        assert total == Counter(hashes.view(np.int64).tolist())
+        of = dict(zip(hashes.view(np.int64).tolist(), kinds.tolist(), strict=True))
+        assert all(of[w] == k for x in found for w, k in zip(x.column("word").to_pylist(), x.column("kind").to_pylist(), strict=True))
+
+
 def test_lm_scores(spark, monkeypatch):
     monkeypatch.setattr(lm, "TABLE_WORDS", 3000)  # so that known words are looked up too, in many buckets
     monkeypatch.setattr(lm, "BUCKET_WORDS", 500)
