@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lumora.models import walk
-from lumora.operators.dataset import build_dataset
+from lumora.models import bridge, walk
+from lumora.operators.dataset import Dataset, build_dataset
+from lumora.plans import registry
 
 
 def values(df, *columns):
@@ -45,3 +46,23 @@ def test_walk_by_parts(camps, monkeypatch, cross, share):
     parted._score_by_joins = None
     assert [values(parted.score(rows)), values(parted.rank(rows), "user_id", "rank"), values(parted.top(rows, 2))] == want
     assert want[0] and want[1] and want[2]
+
+
+def test_bridge_by_groups(spark, camps, monkeypatch):
+    """Candidates of a category and a popularity score alike: ranks, blends and the finite check need a row for each such group, not for each candidate."""
+    data = Dataset(camps.events, camps.items.withColumn("category", F.when(F.col("item_id") % 9 != 8, F.col("category"))), 10)  # some have no category
+    rows = data.eval_rows()
+    with monkeypatch.context() as none:
+        none.setattr(bridge, "BROADCAST_ITEMS", 0)
+        plain = bridge.CategoryBridge().fit(data)
+        assert plain.alike is None
+        scores = values(plain.score(rows), "user_id", "target", "item_id", "score")
+        ranks, mixed = values(plain.rank(rows), "user_id", "rank"), values(registry._blended_pairs(data, plain))
+    monkeypatch.setattr(bridge, "expand", None)
+    monkeypatch.setattr(registry.evaluate, "expand", None)
+    model = bridge.CategoryBridge().fit(data)
+    assert values(model.score(rows), "user_id", "target", "item_id", "score") == scores and values(model.rank(rows), "user_id", "rank") == ranks
+    assert values(registry._blended(data)) == mixed and len(mixed) == 2 * rows.count()
+    assert values(registry._nonfinite(data)) == [(0,)]
+    bad = model.score_alike(model.with_values(rows)).withColumn("score", F.lit(float("nan")))
+    assert values(registry.evaluate.check_finite(bad, "n")) == [(len(scores),)]
