@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lumora.models import bridge, walk
+from lumora.models import bridge, fusion, walk
+from lumora.models.neighbours import ItemNeighbours
 from lumora.operators.dataset import Dataset, build_dataset
 from lumora.plans import registry
 
@@ -66,3 +67,15 @@ def test_bridge_by_groups(spark, camps, monkeypatch):
     assert values(registry._nonfinite(data)) == [(0,)]
     bad = model.score_alike(model.with_values(rows)).withColumn("score", F.lit(float("nan")))
     assert values(registry.evaluate.check_finite(bad, "n")) == [(len(scores),)]
+
+
+def test_dense_features_by_runs(spark, camps, monkeypatch):
+    """Over one sparse retriever the candidates without a score lie in runs: no pair is shuffled or sorted; features, z-scores and negatives are the plain way's."""
+    rows, stage = camps.eval_rows(), fusion.TwoStage([ItemNeighbours(4).fit(camps)], n_candidates=3)
+    stage.data = camps
+    columns = [*fusion.KEY, "item_id", *stage._columns()]
+    got = [values(stage.features(rows).select(*columns)), values(stage.zscores(rows, 6)), values(stage.drawn(rows, 2, 3))]
+    assert "Window" not in stage.zscores(rows, 6)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(fusion, "BROADCAST_ITEMS", 0)
+    assert got == [values(stage.features(rows).select(*columns)), values(stage.zscores(rows, 6)), values(stage.drawn(rows, 2, 3))]
+    assert any(r[columns.index("score0")] == 0 for r in stage.features(rows).select(*columns).collect()) and len(got[2]) == 5 * rows.count()
