@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumora.models import bridge, fusion, walk
-from lumora.models.neighbours import ItemNeighbours
+from lumora.models.neighbours import ItemNeighbours, Popularity
 from lumora.operators.dataset import Dataset, build_dataset
 from lumora.plans import registry
 
@@ -79,3 +79,12 @@ def test_dense_features_by_runs(spark, camps, monkeypatch):
     monkeypatch.setattr(fusion, "BROADCAST_ITEMS", 0)
     assert got == [values(stage.features(rows).select(*columns)), values(stage.zscores(rows, 6)), values(stage.drawn(rows, 2, 3))]
     assert any(r[columns.index("score0")] == 0 for r in stage.features(rows).select(*columns).collect()) and len(got[2]) == 5 * rows.count()
+
+
+def test_pairs_are_dealt(camps, monkeypatch):
+    """Few rows that meet many candidates are dealt to as many tasks as their pairs need."""
+    rows, model = camps.eval_rows().coalesce(1), Popularity().fit(camps)
+    whole = values(model.scores(rows))
+    monkeypatch.setattr(registry.evaluate, "TASK_PAIRS", 50)
+    dealt = model.scores(rows)
+    assert dealt.rdd.getNumPartitions() >= len(whole) // 100 > 1 and values(dealt) == whole
